@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Rounds in which calls that precede what they depend on are moved behind it.
-ORDER_ROUNDS = 32
-
 
 def json_text(c: Column) -> Column:
     """A JSON string literal; null is null."""
@@ -55,36 +52,66 @@ def validate(arguments: Column, schema: Column) -> Column:
     return F.when(schema.isNull(), F.array(F.lit("unknown tool"))).otherwise(F.array_sort(F.concat(missing, kind, long, extra)))
 
 
+def _raise_keys(start: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Raises the keys of calls over those of what they depend on, round by round.
+
+    Returns the final keys and None; or, where cycles keep keys moving, the calls
+    (call_id) on a cycle or on a path between cycles.  Those are what is left when
+    calls that nothing moving depends on, or that depend on nothing moving, are taken
+    away again and again.
+    """
+    keys, moved, moved_n, inner, inner_n = start, None, 0, None, 0
+    while True:
+        pull = needs.join(keys.select(F.col("call_id").alias("dep"), F.col("k").alias("dk")), "dep").groupBy("call_id").agg(F.max("dk").alias("dk"))
+        up = F.coalesce(F.col("dk") >= F.col("k"), F.lit(False))
+        new = keys.join(pull, "call_id", "left").select("call_id", F.when(up, F.struct(F.col("dk.at").alias("at"), (F.col("dk.hops") + 1).alias("hops"))).otherwise(F.col("k")).alias("k"), up.alias("moving"))
+        new = materialise(new, "call-order")
+        keys, moving = new.select("call_id", "k"), new.where("moving").select("call_id")
+        if moving.isEmpty():
+            return keys, None
+        moved = materialise((moving if moved is None else moved.union(moving)).distinct(), "moved-calls")
+        n = moved.count()
+        before = None
+        if n > moved_n:
+            moved_n, step = n, needs.join(moved, "call_id", "left_semi").join(moved.withColumnRenamed("call_id", "dep"), "dep", "left_semi")
+        elif inner_n:
+            before = inner_n
+            step = inner.join(inner.select(F.col("call_id").alias("dep")).distinct(), "dep", "left_semi")
+            step = step.join(inner.select(F.col("dep").alias("call_id")).distinct(), "call_id", "left_semi")
+        else:
+            continue
+        inner = materialise(step.select("call_id", "dep"), "moved-needs")
+        inner_n = inner.count()
+        if before and inner_n == before:
+            return keys, materialise(inner.select("call_id").distinct(), "cyclic-calls")
+
+
 def topological_keys(calls: DataFrame) -> DataFrame:
     """(call_id, order_key, cyclic): sorting calls by order_key, then position and
     call_id, puts each behind all it depends on.
 
     A call's key is its position, unless it depends on one with no smaller key: then it
-    takes that key with one hop more.  Only such calls go through the rounds; those
-    still moving after ORDER_ROUNDS are on a cycle, or behind one: they keep their
-    position and are marked.
+    takes that key with one hop more.  Only where such calls exist there are rounds, as
+    many as the longest chain of them.  Calls on a cycle, or on a path between cycles,
+    keep their position and are marked; what they depend on doesn't move them.
     """
     own = F.struct(F.col("position").cast("long").alias("at"), F.lit(0).cast("long").alias("hops"))
-    keys = materialise(calls.groupBy("call_id").agg(F.min(own).alias("k")), "call-order")
+    start = materialise(calls.groupBy("call_id").agg(F.min(own).alias("k")), "call-order")
     needs = calls.select("call_id", F.explode("depends_on").alias("dep")).where("dep is not null").distinct()
-    needs = materialise(needs.join(keys.select(F.col("call_id").alias("dep"), F.col("k").alias("dk")), "dep").join(keys, "call_id").select("call_id", "dep", "dk", "k"), "call-needs")
-    late = needs.where("dk >= k")
-    moved = None
-    if not late.isEmpty():
-        start = keys
-        for _ in range(ORDER_ROUNDS):
-            pull = needs.select("call_id", "dep").join(keys.select(F.col("call_id").alias("dep"), F.col("k").alias("dk")), "dep").groupBy("call_id").agg(F.max("dk").alias("dk"))
-            new = keys.join(pull, "call_id", "left").select("call_id", F.when(F.col("dk") >= F.col("k"), F.struct(F.col("dk.at").alias("at"), (F.col("dk.hops") + 1).alias("hops"))).otherwise(F.col("k")).alias("k"), (F.coalesce(F.col("dk") >= F.col("k"), F.lit(False))).alias("moving"))
-            new = materialise(new, "call-order")
-            keys, moved = new.select("call_id", "k"), new.where("moving").select("call_id")
-            if moved.isEmpty():
-                moved = None
-                break
-        if moved is not None:
-            keys = keys.join(moved.withColumn("cyclic", F.lit(True)), "call_id", "left").join(start.withColumnRenamed("k", "k0"), "call_id").select("call_id", F.when(F.col("cyclic"), F.col("k0")).otherwise(F.col("k")).alias("k"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
-    if "cyclic" not in keys.columns:
-        keys = keys.withColumn("cyclic", F.lit(False))
-    return keys.select("call_id", F.col("k").alias("order_key"), "cyclic")
+    needs = needs.join(start.select(F.col("call_id").alias("dep"), F.col("k").alias("dk")), "dep").join(start, "call_id")
+    needs = materialise(needs.select("call_id", "dep", (F.col("dk") >= F.col("k")).alias("late")), "call-needs")
+    keys, cyclic = start, None
+    if not needs.where("late").isEmpty():
+        needs = needs.select("call_id", "dep")
+        keys, core = _raise_keys(start, needs)
+        while core is not None:
+            cyclic = core if cyclic is None else cyclic.union(core)
+            needs = materialise(needs.join(core, "call_id", "left_anti"), "call-needs")
+            keys, core = _raise_keys(start, needs)
+    if cyclic is None:
+        return keys.select("call_id", F.col("k").alias("order_key"), F.lit(False).alias("cyclic"))
+    keys = keys.join(cyclic.withColumn("cyclic", F.lit(True)), "call_id", "left")
+    return keys.select("call_id", F.col("k").alias("order_key"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -65,6 +65,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column has it, in any case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Mark ``df`` for broadcast only when its counted rows are within ``limit``."""
     return F.broadcast(df) if rows <= limit else df

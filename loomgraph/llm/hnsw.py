@@ -1,7 +1,8 @@
 """Embedding near-dedup: hierarchical navigable small-world graphs per shard.
 
-Vectors are dealt to shards by a hash of their id.  Each shard builds a layered
-graph; then every vector is looked up in every shard, in blocks.  A search keeps a
+Equal vectors are one class, searched once and counted with its weight.  Classes are
+dealt to shards by a hash of their id.  Each shard builds a layered
+graph; then every class is looked up in every shard, in blocks.  A search keeps a
 beam of the best nodes; while all of a beam links, or while an audit of sample
 queries against brute force misses links, the beam is widened.  Links are
 confirmed by cosine in double precision.  A block returns each vector's number of
@@ -125,8 +126,9 @@ def _choose(x: np.ndarray, own: np.ndarray, cand: np.ndarray, keep: int) -> np.n
 class ShardIndex:
     """HNSW over the unit vectors of one shard."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, layers: list[Layer] | None = None):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, layers: list[Layer] | None = None, weights: np.ndarray | None = None):
         self.ids, self.vectors = ids, vectors
+        self.weights = np.ones(len(ids), np.int64) if weights is None else weights
         self.unit = _unit(vectors).astype(np.float32)
         self.layers = layers if layers is not None else self._build()
 
@@ -252,14 +254,14 @@ class ShardIndex:
     def to_bytes(self) -> bytes:
         to = io.BytesIO()
         parts = {f"{k}{i}": getattr(layer, k).astype(np.int32) for i, layer in enumerate(self.layers) for k in ("nodes", "near")}
-        np.savez(to, ids=self.ids, vectors=self.vectors, **parts)
+        np.savez(to, ids=self.ids, vectors=self.vectors, weights=self.weights, **parts)
         return to.getvalue()
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> ShardIndex:
         z = np.load(io.BytesIO(blob))
-        layers = [Layer(z[f"nodes{i}"].astype(np.int64), z[f"near{i}"].astype(np.int64)) for i in range((len(z.files) - 2) // 2)]
-        return cls(z["ids"], z["vectors"], layers)
+        layers = [Layer(z[f"nodes{i}"].astype(np.int64), z[f"near{i}"].astype(np.int64)) for i in range((len(z.files) - 3) // 2)]
+        return cls(z["ids"], z["vectors"], layers, z["weights"])
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -290,29 +292,45 @@ def _spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 # ---------------------------------------------------------------------- Spark
-def near_vectors(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """(links by vector and shard: id, n, recall; edges: u, v).
+def vector_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """(members: id, class; classes: id, v, weight): equal vectors are one class, named
+    by its smallest id; its weight is the number of its ids.
 
     Null, zero and empty vectors and ones with null or non-finite components are left
-    out.  Vectors of different lengths never link: a shard holds one length.
+    out, so are rows without an id.  Counting is by partial aggregates, so a vector
+    with a third of all rows gathers nowhere.
     """
     good = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     fits = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    good = materialise(good.where(fits).withColumn("d", F.size("v")), "vectors")
+    good = good.where(fits).withColumn("h", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b")))
+    rows = materialise(good, "vectors")
+    keyed = materialise(rows.groupBy("h", "id").agg(F.count(F.lit(1)).alias("n")).groupBy("h").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("weight")), "vector-classes")
+    members = rows.select("h", "id").join(keyed, "h").select("id", "class", "weight").distinct()
+    classes = rows.join(keyed, "h").where(F.col("id") == F.col("class")).select("id", "v", "weight").dropDuplicates(["id", "v"])
+    return materialise(members, "members"), classes
+
+
+def near_vectors(classes: DataFrame, least: float = COSINE) -> tuple[DataFrame, DataFrame]:
+    """(links by class and shard: id, n, recall; edges: u, v) of ``vector_classes``.
+
+    A link counts as often as the linked class has ids.  Vectors of different lengths
+    never link: a shard holds one length.
+    """
+    good = materialise(classes.withColumn("d", F.size("v")), "class-vectors")
     n = good.count()
     shards, blocks = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // BLOCK))
     good = good.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        index = ShardIndex(pdf["id"].to_numpy(), np.stack(pdf["v"].to_list()))
+        index = ShardIndex(pdf["id"].to_numpy(), np.stack(pdf["v"].to_list()), weights=pdf["weight"].to_numpy())
         return pd.DataFrame({"d": [key[0]], "shard": [key[1]], "index": [index.to_bytes()]})
 
     # An index fits one task: SHARD_ROWS vectors at most, dealt by hash.
     built = materialise(good.groupBy("d", "shard").applyInPandas(build, "d int, shard int, index binary"), "hnsw")
     asked = good.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).drop("shard")
     every = built.select(F.col("d").alias("of"), F.col("shard").alias("to"))  # two numbers a shard
-    asked = asked.join(every, F.col("d") == F.col("of")).select("id", "v", "d", F.col("to").alias("shard"), "block")
+    asked = asked.drop("weight").join(every, F.col("d") == F.col("of")).select("id", "v", "d", F.col("to").alias("shard"), "block")
     served = built.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def ask(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
@@ -325,7 +343,7 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_i
         other = ids[a] != shard.ids[b]
         a, b = a[other], b[other]
         u, v = _spanning(ids[a], shard.ids[b])
-        counts = pd.DataFrame({"id": ids, "n": np.bincount(a, minlength=len(ids)), "recall": recall, "u": None, "v": None})
+        counts = pd.DataFrame({"id": ids, "n": np.bincount(a, weights=shard.weights[b], minlength=len(ids)).astype(np.int64), "recall": recall, "u": None, "v": None})
         edges = pd.DataFrame({"id": None, "n": None, "recall": None, "u": u, "v": v})
         return pd.concat([counts[counts["n"] > 0], edges])[columns].astype({"id": "Int64", "n": "Int64", "u": "Int64", "v": "Int64", "recall": "Float64"})
 
@@ -337,13 +355,21 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_i
 def dedup_vectors(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
-    Rows without an id have no links and null component; rows that repeat an id are
-    each returned with that id's links, which do not count rows of the same id.
+    Rows without an id have no links and null component.  Repeated rows are each
+    returned with their id's links, which don't count them.  An id should name one
+    vector; one that names several ties them, and their links are taken together.
     """
-    links, edges = near_vectors(vectors, least, id_col, vec_col)
-    counts = materialise(links.groupBy("id").agg(F.sum("n").alias("n")), "link-counts")
-    parts = materialise(connected_components(edges), "vector-components")
-    out = vectors.select(F.col(id_col).cast("long").alias("id")).join(counts, "id", "left").join(parts, "id", "left")
+    members, classes = vector_classes(vectors, id_col, vec_col)
+    links, edges = near_vectors(classes, least)
+    counts = materialise(links.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "class"), "link-counts")
+    # An id with several vectors ties their classes together.
+    tied = members.groupBy("id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("id")
+    edges = edges.union(members.join(tied, "id", "left_semi").select(F.col("id").alias("u"), F.col("class").alias("v")))
+    parts = materialise(connected_components(edges), "class-components")
+    own = members.join(counts, "class", "left").join(parts.withColumnRenamed("id", "class"), "class", "left")
+    own = own.select("id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "class").alias("component"))
+    own = materialise(own.groupBy("id").agg(F.sum("n").alias("n"), F.min("component").alias("component")), "vector-links")
+    out = vectors.select(F.col(id_col).cast("long").alias("id")).join(own, "id", "left")
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),

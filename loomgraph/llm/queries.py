@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, hnsw, jaccard, packing, quality, rans, spotsigs, toxicity, warc
-from .common import table
+from .common import fresh_name, table
 
 BYTE_BPE, BYTE_RANKS, WORD_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"
 
@@ -99,7 +99,10 @@ FROM judged
 """
 
 
-def keep_predicted(docs: DataFrame, scored: DataFrame, keep: int) -> DataFrame:
-    """Rows of ``docs`` judged ``keep``, with the columns of ``docs``."""
-    return scored.where((F.col("score") >= 0.7).cast("int") == keep).select(*docs.columns)
+def keep_predicted(docs: DataFrame, score: Callable[[DataFrame, str], DataFrame], keep: int) -> DataFrame:
+    """Rows of ``docs`` judged ``keep``, with the columns of ``docs``.
+
+    ``score`` appends a score as the column it is told, a name that ``docs`` hasn't."""
+    to = fresh_name("score", docs.columns)
+    return score(docs, to).where((F.col(to) >= 0.7).cast("int") == keep).drop(to)
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, materialise, new_path
@@ -243,14 +243,20 @@ def read_token_files(spark, folder: str, ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["file", "doc_id", "at", "n_tokens", "ids_crc32", *["ids"] * ids])
 
     rows = files.mapInArrow(scan, "file string, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
-    # Files follow the order by name; a row a file gives where each begins.
+    # Files follow the order by task and place; a row a file gives where each begins.
     totals = files.mapInArrow(_file_totals, "file string, tokens long")
-    before = Window.orderBy(F.element_at(F.split("file", "/"), -1)).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*file_order()).rowsBetween(Window.unboundedPreceding, -1)
     begins = materialise(totals.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("begin")), "file-starts")
     out = rows.join(begins, "file")
     return out.select("doc_id", (F.col("begin") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)
 
 
+def file_order(file: str = "file") -> list[Column]:
+    """Task and place of a written file, as numbers: their digits may grow in number."""
+    name = F.element_at(F.split(F.col(file), "/"), -1)
+    return [F.regexp_extract(name, p, 1).cast("long") for p in (r"^part-(\d+)", r"-c(\d+)")] + [name]
+
+
 def _file_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.column(0)

@@ -101,12 +101,14 @@ def write_warc(pages: DataFrame, out: str, min_bytes: int = 0) -> None:
             done, size = [], 0
             for page, url, html, holder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = html.encode()
-                name = f"<urn:page:{page}>"
-                head = [("WARC-Record-ID", name), ("WARC-Date", _DATE), ("WARC-Target-URI", _clean(url)), ("WARC-Payload-Digest", "sha1:" + digest32(payload)), ("X-Payload-Length", len(payload))]
+                digest = digest32(payload)
+                # With the digest, rows that share a page_id but not a payload stay apart.
+                name = f"<urn:page:{digest}:{page}>"
+                head = [("WARC-Record-ID", name), ("WARC-Date", _DATE), ("WARC-Target-URI", _clean(url)), ("WARC-Payload-Digest", "sha1:" + digest), ("X-Payload-Length", len(payload))]
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
                 if holder is not None:
                     block = http
-                    kind = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{holder}>")]
+                    kind = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{digest}:{holder}>")]
                     done.append(record([*kind, *head], block))
                 else:
                     block = http + chunked(payload)
@@ -114,7 +116,7 @@ def write_warc(pages: DataFrame, out: str, min_bytes: int = 0) -> None:
                     first = [("WARC-Type", "response"), *head, ("Content-Type", "application/http;msgtype=response")]
                     done.append(record([*first, *[("WARC-Segment-Number", 1)] * many], block[:SEGMENT]))
                     for k in range(1, -(-len(block) // SEGMENT)):
-                        own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{page}:{k + 1}>"), ("WARC-Date", _DATE), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k + 1)]
+                        own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{digest}:{page}:{k + 1}>"), ("WARC-Date", _DATE), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k + 1)]
                         if (k + 1) * SEGMENT >= len(block):
                             own.append(("WARC-Segment-Total-Length", len(block)))
                         done.append(record(own, block[k * SEGMENT : (k + 1) * SEGMENT]))
@@ -168,8 +170,8 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def reassemble(records: DataFrame) -> DataFrame:
     """One row per page, with its whole block.  Records in one piece pass by; segments
-    meet by origin, in order of segment number.  A group is one page's block; pages
-    without an id and repeated ones share an origin and are told apart by equal runs."""
+    meet by origin, in order of segment number.  A group is one page's block; an origin
+    names payload and page, so repeated rows of a page hold equal segments."""
     whole = records.where((F.col("segment") == 0) & (F.col("kind") != "continuation"))
     parts = records.where((F.col("segment") > 0) | (F.col("kind") == "continuation"))
     joined = parts.groupBy("origin").agg(
@@ -177,7 +179,7 @@ def reassemble(records: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
         F.sum(F.when(F.col("segment") == 1, 1)).alias("copies"),
     )
-    # Repeated rows of one page hold equal segments: every copies-th one is taken, for each copy.
+    # Of repeated rows every copies-th segment is taken, for each copy.
     step = F.filter("parts", lambda x, i: i % F.col("copies") == 0)
     block = F.aggregate(step, F.lit(b""), lambda a, x: F.concat(a, x["block"]))
     joined = joined.select(
