@@ -18,13 +18,13 @@ from loomgraph.llm.queries import BYTE_BPE, BYTE_RANKS, keep_predicted
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking accepts (score 0.7 or more)."""
     ranking = quality.learn_ranking(docs, table(spark, sf_dir, "labels"))
-    return keep_predicted(docs, quality.score_documents(docs, ranking, to="score"), 1)
+    return keep_predicted(docs, lambda d, to: quality.score_documents(d, ranking, to=to), 1)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not judged toxic (score under 0.7)."""
     model = toxicity.learn_toxicity(docs, table(spark, sf_dir, "labels"))
-    return keep_predicted(docs, toxicity.score_documents(docs, model, to="score"), 0)
+    return keep_predicted(docs, lambda d, to: toxicity.score_documents(d, model, to=to), 0)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
