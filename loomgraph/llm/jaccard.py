@@ -42,7 +42,7 @@ THRESHOLD = 80
 POOL, KEYS = 40, 20
 #: Classes from which on a shingle counts as common.
 COMMON = 100
-#: Pivots of a cell, chosen by the cell's key.
+#: Orders by which pivots are chosen, told by the cell's key.
 PIVOTS = 4
 #: Hash groups of a count vector, and points of a block and of a leaf.
 GROUPS, BLOCK, LEAF = 256, 256, 8
@@ -90,17 +90,18 @@ def shingle_summaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def cells(classes: DataFrame) -> DataFrame:
-    """(key, id, n): the cells in which a class (id, n, pool) meets others."""
+    """(key, id, n, known): the cells in which a class (id, n, pool) meets others, and how
+    often its pool's hashes are met in all: the more, the more central the class."""
     keyed = classes.select("id", "n", F.posexplode("pool").alias("pos", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     met = keyed.join(shared, "key").withColumn("common", (F.col("c") > COMMON).cast("int"))
     # A class has at most POOL rows here, so these windows stay small.
     by_class = Window.partitionBy("id")
     met = met.withColumn("before", F.coalesce(F.sum("common").over(by_class.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    met = met.withColumn("all_common", F.sum("common").over(by_class))
+    met = met.withColumns({"all_common": F.sum("common").over(by_class), "known": F.sum("c").over(by_class)})
     rank = F.when(F.col("common") == 1, F.col("before")).otherwise(F.col("pos") - F.col("before"))
     mostly = F.col("all_common") * 2 > F.least("n", F.lit(POOL))
-    return met.where((rank < KEYS) & ((F.col("common") == 0) | mostly)).select("key", "id", "n")
+    return met.where((rank < KEYS) & ((F.col("common") == 0) | mostly)).select("key", "id", "n", "known")
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame, rows: int, *carry: str) -> DataFrame:
@@ -166,6 +167,10 @@ def _tree_pairs(group: pa.Table, threshold: int) -> tuple[np.ndarray, np.ndarray
     ids, comps = group.column("id").to_numpy(), group.column("component").to_numpy()
     sizes, side = group.column("n").to_numpy(), group.column("side").to_numpy()
     counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint32).reshape(len(ids), GROUPS)
+    key = group.column("key")[0].as_py()
+    cells_of = np.full((len(ids), POOL), np.iinfo(np.int64).max)
+    for i, own in enumerate(group.column("keys").to_pylist()):
+        cells_of[i, : len(own)] = own
     out_u, out_v = [], []
     one_block = not side.any()
     base = np.flatnonzero(side == 0)
@@ -173,6 +178,8 @@ def _tree_pairs(group: pa.Table, threshold: int) -> tuple[np.ndarray, np.ndarray
     for q in base if one_block else np.flatnonzero(side == 1):
         hit = base[tree.search(sizes[q], counts[q], threshold)]
         hit = hit[comps[hit] != comps[q]]
+        before = cells_of[q][cells_of[q] < key]
+        hit = hit[~np.isin(cells_of[hit], before).any(1)]
         if one_block:
             hit = hit[ids[hit] < ids[q]]
         out_u.append(np.full(len(hit), ids[q]))
@@ -181,7 +188,8 @@ def _tree_pairs(group: pa.Table, threshold: int) -> tuple[np.ndarray, np.ndarray
 
 
 def tree_candidates(docs: DataFrame, met: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of different components that the R-tree of their cell lets pass.
+    """Pairs of different components that the R-tree of their cell lets pass, each in the
+    first cell that both are in.
 
     ``met`` has (key, id, n, component), cells with several components only."""
     size = materialise(met.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "cell-sizes")
@@ -195,6 +203,8 @@ def tree_candidates(docs: DataFrame, met: DataFrame, threshold: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["id", "counts"])
 
     points = materialise(shingles_of(docs, ids, ids.count()).mapInArrow(scan, "id long, counts binary"), "points")
+    # At most POOL cells a class.
+    points = materialise(points.join(met.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys")), "id"), "placed-points")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = (
@@ -226,7 +236,7 @@ def tree_candidates(docs: DataFrame, met: DataFrame, threshold: int) -> DataFram
                 held.append(batch.slice(s, e - s))
         yield from flush()
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(search, "u long, v long").distinct()
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(search, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,12 +253,18 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, id_col: str
     found = materialise(shingle_summaries(docs, id_col, text_col), "shingles")
     classes = found.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("pool").alias("pool"))
     met = materialise(cells(classes), "cells")
-    # Pivots: of each cell and size class, the class that comes first in one of a few orders.
+    # Pivots: of each cell and size class, the most central class, which links with most
+    # of a group of near copies, and the one that comes first in one of a few orders.
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
     placed = met.withColumn("level", level)
-    order = F.struct(F.xxhash64("id", F.pmod("key", F.lit(PIVOTS))), F.col("id"))
-    pivots = materialise(placed.groupBy("key", "level").agg(F.min(order).alias("p"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "level", F.col("p.id").alias("v")), "pivots")
-    pairs = placed.join(pivots, ["key", "level"]).where("id <> v").select(F.col("id").alias("u"), "v").distinct()
+    order = F.struct(F.xxhash64("id", F.pmod("key", F.lit(PIVOTS))), F.col("id"), F.col("n"))
+    centre = F.struct("known", "id", "n")
+    pivots = placed.groupBy("key", "level").agg(F.min(order).alias("p"), F.max(centre).alias("q"))
+    one = lambda p: F.struct(p["id"].alias("v"), p["n"].alias("m"))
+    pivots = pivots.select("key", "level", F.inline(F.array_distinct(F.array(one(F.col("p")), one(F.col("q"))))))
+    # Sets that link lie in one size class or in neighbouring ones.
+    pivots = materialise(pivots.select("key", F.explode(F.array(*[F.col("level") + k for k in (-1, 0, 1)])).alias("level"), "v", "m"), "pivots")
+    pairs = placed.join(pivots, ["key", "level"]).where((F.col("id") != F.col("v")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold)).select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
     links = materialise(verify(texts, pairs, threshold), "pivot-links")
     parts = connected_components(links)
     # Cells that still hold several components.
