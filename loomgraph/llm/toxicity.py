@@ -38,7 +38,9 @@ WINDOW = 6
 #: A stem counts as evidence in documents where it makes up this share of the words.
 DENSE = 0.006
 #: Words remembered by a task before its look-up memory starts anew.
-MEMORY = 1_500_000
+MEMORY = 200_000
+#: Moves of the automaton remembered by a task.
+MOVES = 100_000
 
 #: Words of reporting in the four languages, and quotation marks.
 REPORTING = frozenset("said says wrote quote quoted called term word dit écrit mot sagte schrieb wort dijo escribió palabra".split())
@@ -106,7 +108,7 @@ class LexiconAutomaton:
                     out.add((node, 1))  # a letter too many
                     out.update((n, 1) for n in self.next[node].values() if self.fuzzy_below[n])  # another letter
             got = self._close(out)
-            if len(self.moves) > 400_000:
+            if len(self.moves) > MOVES:
                 self.moves.clear()
             self.moves[state, c] = got
         return got
