@@ -67,7 +67,7 @@ def result_lines(df: DataFrame, skip: tuple[str, ...] = ("id", "x", "label", "la
         flat += [(g.name, F.col(f"`{f.name}`.`{g.name}`"), g.dataType) for g in inner] if inner else [(f.name, F.col(f"`{f.name}`"), f.dataType)]
     text = lambda c, t: F.to_json(c) if t.typeName() in ("array", "struct", "map") else c.cast("string")
     lines = [F.when(c.isNotNull(), F.concat(F.lit(f"{n} : "), text(c, t))) for n, c, t in flat if n not in skip]
-    return df.select(F.concat_ws("\n", *lines, F.lit("")).alias("value"))
+    return df.select(F.concat_ws("\n", *lines).alias("value"))
 
 
 def write_results(df: DataFrame, path: str) -> int:
