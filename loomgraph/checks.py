@@ -60,7 +60,7 @@ def time_query(spark: SparkSession, name: str, query: Callable[[], DataFrame], w
             if k >= warm_ups:
                 took.append(time.perf_counter() - began)
     except Exception as e:  # noqa: BLE001 - the report lists what failed
-        return Timing(name, tuple(took), f"{type(e).__name__}: {str(e)[:200]}")
+        return Timing(name, tuple(took), f"{type(e).__name__}: {(str(e).strip() or 'no message').splitlines()[0][:200]}")
     return Timing(name, tuple(took))
 
 
