@@ -297,9 +297,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, split: int = 1, folds: in
             got = [(label, *hit_features(text, words_of(text), memory)[:4]) for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([float(g[i]) for g in got]) for i in range(5)], names=["label", "a", "q", "d", "s"])
 
-    # At most `bound` rows of five numbers come back.
-    got = rows.mapInArrow(measure, "label double, a double, q double, d double, s double").orderBy("label", "a", "q", "d", "s").collect()
-    m = np.array([[r["label"], r["a"], r["q"], r["d"], r["s"]] for r in got])
+    # At most `bound` rows of five numbers come back, in any order; sorted, sums are alike on every run.
+    got = rows.mapInArrow(measure, "label double, a double, q double, d double, s double").collect()
+    m = np.array(sorted((r["label"], r["a"], r["q"], r["d"], r["s"]) for r in got))
     return ToxicModel(terms, fuzzy, _logistic(m[:, 1:], m[:, 0]))
 
 
