@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 #: Odd base of the polynomial word hash, and its inverse modulo 2**64.
@@ -25,7 +25,19 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
+#: Rows of an Arrow batch between Spark and Python, where the session has Spark's own
+#: default: whole texts are long, and both sides hold a batch or two for each core.
+BATCH_ROWS, _DEFAULT_ROWS = 1_000, "10000"
+
+
 # --------------------------------------------------------------------- tables
+def bound_batches(spark: SparkSession) -> None:
+    """Makes Arrow batches small in sessions that leave their size at the default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
@@ -56,12 +68,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Cuts lineage durably: a lost executor re-reads files, it does not recompute
     the stages above.
     """
+    bound_batches(df.sparkSession)
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
