@@ -45,7 +45,7 @@ COMMON = 100
 #: Orders by which pivots are chosen, told by the cell's key.
 PIVOTS = 4
 #: Hash groups of a count vector, and points of a block and of a leaf.
-GROUPS, BLOCK, LEAF = 256, 256, 8
+GROUPS, BLOCK, LEAF = 256, 2_048, 8
 #: Ids that may be broadcast to pick texts (8 bytes each, counted before).
 BROADCAST_IDS = 1_000_000
 
