@@ -67,29 +67,36 @@ def _pad(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grid.reshape(blocks, steps, LANES).transpose(1, 0, 2).reshape(steps, -1), count
 
 
+def _dense(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids, each id's place among them, and how often each comes."""
+    if not len(ids) or ids.max() >= 1 << 22:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    return (seen := np.flatnonzero(counts)), (np.cumsum(counts > 0) - 1)[ids], counts[seen]
+
+
 def encode(ids: np.ndarray, docs: np.ndarray, lengths: np.ndarray) -> bytes:
     """A file of the documents' ids, concatenated in ``ids``."""
-    symbols, dense = np.unique(ids, return_inverse=True)
-    counts = np.bincount(dense, minlength=len(symbols))
+    symbols, dense, counts = _dense(ids)
     freq = quantise(counts) if len(symbols) else np.zeros(0, np.int64)
     start = np.concatenate(([0], np.cumsum(freq)[:-1])) if len(symbols) else freq
     grid, count = _pad(dense)
-    steps, lanes = grid.shape
+    steps = int(count.max(initial=0))
+    lanes, whole = grid.shape[1], int(count.min(initial=BLOCK))
     state = np.full(lanes, _LOW)
-    out = np.zeros((lanes, steps + 1), np.uint32)
-    used = np.zeros(lanes, np.int64)
-    all_lanes = np.arange(lanes)
-    for t in range(int(count.max(initial=0)) - 1, -1, -1):
-        live = all_lanes if (count > t).all() else np.flatnonzero(count > t)
+    f_of, c_of = freq.astype(_U), start.astype(_U)
+    # A row a step: the lanes' low halves, and which of them leave their lane.
+    halves, leave = np.zeros((steps, lanes), np.uint32), np.zeros((steps, lanes), bool)
+    for row, t in enumerate(range(steps - 1, -1, -1)):
+        live = slice(None) if t < whole else np.flatnonzero(count > t)
         s = grid[t, live]
-        f, c, x = freq[s].astype(_U), start[s].astype(_U), state[live]
+        f, x = f_of[s], state[live]
         full = x >= f << _U(63 - SCALE_BITS)
-        w = live[full]
-        out[w, used[w]] = x[full].astype(np.uint32)
-        used[w] += 1
+        halves[row, live], leave[row, live] = x & _U(0xFFFFFFFF), full
         x = np.where(full, x >> _U(32), x)
-        state[live] = (x // f << _U(SCALE_BITS)) + x % f + c
-    words = out[np.arange(steps + 1)[None] < used[:, None]]
+        # (x // f << SCALE_BITS) + x % f + c, with one division.
+        state[live] = x + x // f * (_U(1 << SCALE_BITS) - f) + c_of[s]
+    words, used = halves.T[leave.T], leave.sum(0)
     check = [zlib.crc32(ids[at : at + BLOCK].astype("<u4").tobytes()) for at in range(0, max(1, len(ids)), BLOCK)]
     parts = [
         np.array([len(ids), len(docs), len(symbols), SCALE_BITS, BLOCK, LANES], "<i8"), symbols.astype("<u4"), freq.astype("<u4"),
@@ -138,9 +145,9 @@ class TokenFile:
         grid = np.zeros((steps, len(state)), np.int64)
         mask, bits = _U((1 << int(self.bits)) - 1), _U(int(self.bits))
         freq, start = self.freq.astype(_U), self.start.astype(_U)
-        all_lanes = np.arange(len(state))
+        all_lanes, whole = np.arange(len(state)), int(count.min(initial=self.block))
         for t in range(int(count.max(initial=0))):
-            live = all_lanes if (count > t).all() else np.flatnonzero(count > t)
+            live = all_lanes if t < whole else np.flatnonzero(count > t)
             x = state[live]
             low = x & mask
             s = self.slot[low.astype(np.int64)]

@@ -13,6 +13,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable
+from itertools import filterfalse
 
 import numpy as np
 import regex
@@ -53,6 +54,7 @@ class SpaceSegments:
     ASCII punctuation after an ASCII letter is a segment of its own.
     """
 
+    _MARKS = b".,;:!?"
     _TAIL = re.compile(rb"^(.*[a-z])([.,;:!?]+)$", re.S)
 
     def __init__(self, encode_all: Callable[[list[bytes]], list[bytes]], specials: list[bytes], memory: int = MEMORY):
@@ -63,7 +65,7 @@ class SpaceSegments:
         memory = self.memory
         cut, cores = {}, set()
         for s in segments:
-            m = self._TAIL.match(s)
+            m = s[-1] in self._MARKS and self._TAIL.match(s)
             if m:
                 cut[s] = m.groups()
                 cores.update(m.groups())
@@ -89,10 +91,7 @@ class SpaceSegments:
         parts = [self.split(t) for t in texts]
         if len(self.memory) > self.limit:
             self.memory.clear()
-        new: set[bytes] = set()
-        for p in parts:
-            new.update(p)
-        new.difference_update(self.memory.keys())
+        new = set(filterfalse(self.memory.__contains__, set().union(*parts)))
         if new:
             self._learn(new)
         get = self.memory.__getitem__
@@ -144,25 +143,48 @@ class WordRules:
         return plan
 
 
-def library_segments(path: str) -> SpaceSegments:
+def library_segments(path: str) -> EagerSegments:
     """Segments whose words are encoded by the tokenizers library's own model."""
     rules = WordRules(path)
     tokenize = rules.library.model.tokenize
     table = {b: c for b, c in enumerate(rules.letters) if chr(b) != c}
 
-    def encode_all(segments: list[bytes]) -> list[bytes]:
-        out = []
-        for s in segments:
-            ids: list[int] = []
-            for w in rules.plan(s):
-                if w.__class__ is bytes:
-                    ids += [t.id for t in tokenize(w.decode() if w.isalpha() else w.decode("latin-1").translate(table))]
-                else:
-                    ids.append(w)
-            out.append(array("I", ids).tobytes())
-        return out
-
-    return SpaceSegments(encode_all, [s.encode() for s in rules.special])
+    def encode(segment: bytes) -> bytes:
+        if segment.isalpha():  # ASCII letters only: one word
+            return array("I", [t.id for t in tokenize(segment.decode().lower())]).tobytes()
+        ids: list[int] = []
+        for w in rules.plan(segment):
+            if w.__class__ is bytes:
+                ids += [t.id for t in tokenize(w.decode() if w.isalpha() else w.decode("latin-1").translate(table))]
+            else:
+                ids.append(w)
+        return array("I", ids).tobytes()
+
+    return EagerSegments(encode, [s.encode() for s in rules.special])
+
+
+class EagerSegments(SpaceSegments):
+    """Segments that are encoded one by one, each when it is first asked for."""
+
+    def __init__(self, encode: Callable[[bytes], bytes], specials: list[bytes], memory: int = MEMORY):
+        super().__init__(lambda segments: list(map(encode, segments)), specials, memory)
+        self.memory = _Memory(encode)
+
+    def look_up(self, texts: list[str]) -> list[list]:
+        if len(self.memory) > self.limit:
+            self.memory.clear()
+        get = self.memory.__getitem__
+        return [list(map(get, self.split(t))) for t in texts]
+
+
+class _Memory(dict):
+    def __init__(self, encode: Callable[[bytes], bytes]):
+        self.encode = encode
+
+    def __missing__(self, segment: bytes) -> bytes:
+        m = segment[-1] in SpaceSegments._MARKS and SpaceSegments._TAIL.match(segment)
+        ids = self[segment] = self[m[1]] + self[m[2]] if m else self.encode(segment)
+        return ids
 
 
 class ByteLevelIds:
