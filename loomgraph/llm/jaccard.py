@@ -7,9 +7,9 @@ documents link when ``100 * |A & B| >= threshold * |A | B|``.
    representative goes on, and copies get their class's answer by a join.
 2. *Cells.*  A class meets others in the cells of its ``KEYS`` smallest shingle
    hashes that are not very common (all of them, if it has fewer).  Two sets with
-   Jaccard at least 0.8 share none of them with a chance below 0.2 ** KEYS
-   (1e-14), as small as that of two hashes colliding; sets of at most ``POOL``
-   shingles that link always share one.  Shingles of more than ``COMMON`` classes
+   Jaccard at least 0.8 share none of them with a chance of about 0.4 ** KEYS (1e-8)
+   at most: unshared shingles are a fifth of the union, and half of a pool may be
+   passed over; sets of at most ``POOL`` shingles that link always share one.  Shingles of more than ``COMMON`` classes
    (boilerplate) are passed over unless they are over half of a document's pool.
 3. *Pivots.*  In each cell every class is verified against a few pivots, linearly
    many pairs.  This alone gathers groups of copies, however large.
