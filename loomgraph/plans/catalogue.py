@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as G
@@ -50,6 +50,14 @@ def _seeds(g) -> DataFrame:
     return g.nodes("Part").where("partkey % 100 < 3").select("id")
 
 
+def _all_parts(g) -> DataFrame:
+    return g.nodes("Part").select("id")
+
+
+def _part_key(c: str) -> Column:
+    return ((F.col(c) - 5) / 16).cast("long").alias(c)
+
+
 # ----------------------------------------------------------- scans and patterns
 @query("SELECT p_brand AS brand, count(*) AS n_items, count(DISTINCT o_orderkey) AS n_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def brand_counts(spark, sf_dir):
@@ -400,6 +408,42 @@ def iterated(spark, sf_dir):
     return found.groupBy(((F.col("id") - 5) / 16).cast("long").alias("partkey")).agg(F.count("*").alias("n"))
 
 
+# ------------------------------------------- the searches above, from every part
+# Without SQL: enumerating all walks there is too slow; tested against brute force.
+@query(None)
+def walks_from_all_parts(spark, sf_dir):
+    g = shop_graph(spark, sf_dir)
+    found = paths.walk_counts(g.edges("REFERS"), _all_parts(g), 2, 4)
+    return found.groupBy(_part_key("start"), "depth").agg(F.sum("n").alias("n"))
+
+
+@query(None)
+def trails_from_all_parts(spark, sf_dir):
+    m = shop_graph(spark, sf_dir).match(node("a", "Part"), out("p", "REFERS", hops=(1, 12), kind=1), node("b", "Part"))
+    return m.select(F.col("a.partkey").alias("start"), "p.depth", F.col("b.partkey").alias("end"))
+
+
+@query(None)
+def shortest_paths_from_all_parts(spark, sf_dir):
+    g = shop_graph(spark, sf_dir)
+    return paths.shortest_paths(g.edges("REFERS"), _all_parts(g), high=5).select(_part_key("start"), _part_key("end"), "depth", "n_paths")
+
+
+@query(None)
+def all_shortest_paths_from_all_parts(spark, sf_dir):
+    g = shop_graph(spark, sf_dir)
+    found = paths.all_shortest_paths(g.edges("REFERS"), _all_parts(g), g.nodes("Part").where("size < 5"), high=5)
+    return found.groupBy("depth").agg(F.countDistinct("start", "end").alias("pairs"), F.count("*").alias("paths_found"))
+
+
+@query(None)
+def iterated_from_all_parts(spark, sf_dir):
+    g = shop_graph(spark, sf_dir)
+    edges = g.edges("REFERS").select("src", "dst")
+    found = paths.iterate(_all_parts(g), lambda front: front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")), ["id"])
+    return found.groupBy(_part_key("id").alias("partkey")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT r_regionkey * 16 + 1 AS id, array_to_string(list(n_nationkey * 16 + 2 ORDER BY n_nationkey), ',') AS neighbours FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
 def adjacency_lists(spark, sf_dir):
     return shop_graph(spark, sf_dir).adjacency("IN_REGION", reverse=True).select("id", F.array_join("neighbours", ",").alias("neighbours"))
