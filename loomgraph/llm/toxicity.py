@@ -218,8 +218,9 @@ def pick_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> li
     """Terms from (term, toxic documents, clean documents) counts.
 
     Kept: at least 3 toxic documents, at most 2 % of its documents clean (10 % for
-    a stem) and a z-score of 4 or more.  A word or longer stem covered by a kept shorter stem
-    is left out; a stem is kept only if it joins several words.
+    a stem) and a z-score of 4 or more.  Stems are decided first: a stem is kept only
+    if it joins several words and no kept shorter stem covers it.  A word is left out
+    only if a stem that covers it is among the terms returned.
     """
     if not toxic:
         return []
@@ -229,18 +230,32 @@ def pick_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> li
         z = (t - (t + c) * rate) / np.sqrt(max((t + c) * rate * (1 - rate), 1e-9))
         if t >= 3 and c <= (0.1 if term.endswith("*") else 0.02) * (t + c) and z >= 4:
             scored.append((z, term, t))
-    by_term = {term: t for _, term, t in scored}
-    kept: list[str] = []
-    for _, term, t in sorted(scored, key=lambda x: (-x[0], x[1])):
-        if len(kept) >= MAX_TERMS:
-            break
-        body = term.rstrip("*")
-        if any((p := body[:n] + "*") != term and by_term.get(p, 0) >= 1.15 * t for n in STEM_LENGTHS if n <= len(body)):
-            continue  # a shorter stem says it, and more
-        if term.endswith("*") and any(by_term.get(w, 0) >= 0.9 * t for w in (body, *(x for x in by_term if not x.endswith("*") and x.startswith(body)))):
-            continue  # a single word says as much
-        kept.append(term)
-    return kept
+    scored.sort(key=lambda x: (-x[0], x[1]))
+    stems = sorted(((term, t) for _, term, t in scored if term.endswith("*")), key=lambda x: (len(x[0]), x[0]))
+    words = [(term, t) for _, term, t in scored if not term.endswith("*")]
+    most: Counter[str] = Counter()  # toxic documents of a stem's commonest word
+    for w, t in words:
+        for n in STEM_LENGTHS:
+            if n <= len(w):
+                most[w[:n] + "*"] = max(most[w[:n] + "*"], t)
+    cut: set[str] = set()
+    while True:
+        held: dict[str, int] = {}
+
+        def covered(body: str, t: int) -> bool:
+            """A shorter stem says it, and more."""
+            return any(held.get(body[:n] + "*", 0) >= 1.15 * t for n in STEM_LENGTHS if n <= len(body))  # noqa: B023
+
+        for term, t in stems:
+            if term not in cut and most[term] < 0.9 * t and not covered(term[:-1], t):
+                held[term] = t
+        stay = held.keys() | {w for w, t in words if not covered(w, t)}
+        kept = [term for _, term, _ in scored if term in stay][:MAX_TERMS]
+        # A stem beyond the bound covers nothing: decide anew without it.
+        beyond = held.keys() - set(kept)
+        if not beyond:
+            return kept
+        cut |= beyond
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, split: int = 1, folds: int = 3, bound: int = FIT_ROWS) -> ToxicModel:

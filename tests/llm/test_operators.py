@@ -396,6 +396,15 @@ def test_automaton(word, hit):
     assert (None if got is None else got[1]) == hit
 
 
+def test_words_go_only_for_stems_that_stay(monkeypatch):
+    counts = [("snor*", 100, 0), ("snorkwit", 95, 0), ("snorbel", 20, 0), ("grum*", 90, 0), ("grumble", 40, 0), ("grumpet", 50, 0)]
+    assert set(toxicity.pick_terms(counts, 1000, 1000)) == {"snorkwit", "snorbel", "grum*"}
+    # A stem beyond the bound doesn't take its words along.
+    monkeypatch.setattr(toxicity, "MAX_TERMS", 2)
+    assert set(toxicity.pick_terms([("grum*", 90, 9), ("grumble", 60, 0), ("grumpet", 70, 0), ("blather", 99, 0)], 1000, 1000)) == {"blather", "grum*"}
+    assert set(toxicity.pick_terms([("grum*", 40, 4), ("grumble", 34, 0), ("mudwort", 31, 0), ("blather", 99, 0)], 1000, 1000)) == {"blather", "grumble"}
+
+
 # --------------------------------------------------------------------- texts
 def test_word_hashes_tell_words_apart():
     words = vocabulary(5000, 6)
