@@ -5,10 +5,12 @@ labelled documents as words and prefixes that occur in toxic documents and
 almost never elsewhere.  A word of a text is looked up by walking the lexicon
 trie together with the automaton of "at most one edit", so that misspelled terms
 are found; fuzzy matching of a term is kept only where the clean part of the
-fitted sample shows no clash with ordinary words.
+fitted sample shows no clash with ordinary words.  Where a stem's fuzzy matching
+clashes, the words that it stands for are taken beside it if theirs doesn't.
 
 Each hit is weighed by its context window: hits between quotation marks, or near
-words of reporting, count as quotation and weigh less than plain abuse.
+words of reporting, count as quotation and are weighed apart from plain abuse,
+those of words and those of stems alike.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ from .common import broadcast_if_small, training_rows
 
 #: Largest number of labelled documents that the lexicon and weights are fitted on.
 FIT_ROWS = 12_000
-#: Largest lexicon kept, by evidence.
+#: Largest lexicon kept, by evidence; words taken beside a stem for their edits come on top.
 MAX_TERMS = 2_000
 #: Lengths of the stems that are tried.
 STEM_LENGTHS = (4, 5, 6, 7)
 #: Shortest whole word and stem that may match with one edit.
-FUZZY_WORD, FUZZY_STEM = 5, 8
+FUZZY_WORD, FUZZY_STEM = 5, 4
 #: Words on either side of a hit that its context window spans.
 WINDOW = 6
 #: A stem counts as evidence in documents where it makes up this share of the words.
@@ -47,6 +49,7 @@ REPORTING = frozenset("said says wrote quote quoted called term word dit écrit
 QUOTES = frozenset("\"'«»„“”‘’‹›`")
 
 _WORD = re.compile(r"[^\W\d_]+")
+_NONE: set[int] = set()
 
 
 def words_of(text: str) -> list[str]:
@@ -113,7 +116,8 @@ class LexiconAutomaton:
             self.moves[state, c] = got
         return got
 
-    def match(self, word: str) -> tuple[int, int] | None:
+    def reached(self, word: str) -> list[tuple[int, int, int]]:
+        """(edits, minus the term's length, term index) of every term that matches."""
         state, found = self.start, []
         for c in word:
             state = self.step(state, c)
@@ -128,6 +132,10 @@ class LexiconAutomaton:
                 k = self.word_at.get(node)
                 if k is not None and (not used or self.loose[k]):
                     found.append((used, -len(self.terms[k]), k))
+        return found
+
+    def match(self, word: str) -> tuple[int, int] | None:
+        found = self.reached(word)
         if not found:
             return None
         used, _, k = min(found)
@@ -151,20 +159,20 @@ class _Memory(dict):
 class ToxicModel:
     terms: list[str] = field(default_factory=list)
     fuzzy: list[bool] = field(default_factory=list)
-    weights: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0, 0, 0, 0]))
+    weights: np.ndarray = field(default_factory=lambda: np.array([-3.0, 0, 0, 0, 0, 0]))
     #: Score of every document where nothing could be learned.
     base: float | None = None
 
 
-def hit_features(text: str, words: list[str], memory: _Memory) -> tuple[float, float, float, float, list[tuple[int, int]]]:
-    """Damped counts of abuse and quotation by whole words, damped shares of words
-    and of stems, and the hits.  Stems also occur in ordinary words, so only their
-    share of the text counts."""
+def hit_features(text: str, words: list[str], memory: _Memory) -> tuple[float, float, float, float, float, list[tuple[int, int]]]:
+    """Damped counts of abuse and quotation by whole words, damped shares of words, of
+    abuse by stems and of quotation by stems, and the hits.  Stems also occur in ordinary
+    words, so only their share of the text counts."""
     # Most texts have no hit: distinct words first, places only if needed.
     hits = {w: m for w in set(words) if (m := memory[w]) is not None}
     if not hits:
-        return 0.0, 0.0, 0.0, 0.0, []
-    abuse = quoted = stems = 0.0
+        return 0.0, 0.0, 0.0, 0.0, 0.0, []
+    abuse = quoted = stems = quoted_stems = 0.0
     terms = memory.automaton.terms
     spans = list(_WORD.finditer(text.lower()))
     lowered = [m.group() for m in spans]
@@ -175,19 +183,22 @@ def hit_features(text: str, words: list[str], memory: _Memory) -> tuple[float, f
             continue
         found.append(m)
         worth = 1.0 if m[1] == 0 else 0.8
-        if terms[m[0]].endswith("*"):
-            stems += worth
-            continue
+        stem = terms[m[0]].endswith("*")
         lo, hi = max(0, i - WINDOW), min(len(spans), i + WINDOW + 1)
         left = text[spans[lo].start() : spans[i].start()]
         right = text[spans[i].end() : spans[hi - 1].end()]
         marks = any(c in QUOTES for c in left) and any(c in QUOTES for c in right)
         if marks or any(x in REPORTING for x in lowered[lo:i]):
-            quoted += worth
+            if stem:
+                quoted_stems += worth
+            else:
+                quoted += worth
+        elif stem:
+            stems += worth
         else:
             abuse += worth
     n = max(1, len(words))
-    return np.log1p(abuse), np.log1p(quoted), np.log1p(50 * (abuse + quoted) / n), np.log1p(200 * stems / n), found
+    return np.log1p(abuse), np.log1p(quoted), np.log1p(50 * (abuse + quoted) / n), np.log1p(200 * stems / n), np.log1p(200 * quoted_stems / n), found
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -215,7 +226,11 @@ def _terms_of(text: str) -> set[str]:
 
 
 def pick_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> list[str]:
-    """Terms from (term, toxic documents, clean documents) counts.
+    return _pick_terms(counts, toxic, clean)[0]
+
+
+def _pick_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[list[str], list[str]]:
+    """Terms, and words left out for stems, both by evidence, from (term, toxic documents, clean documents) counts.
 
     Kept: at least 3 toxic documents, at most 2 % of its documents clean (10 % for
     a stem) and a z-score of 4 or more.  Stems are decided first: a stem is kept only
@@ -223,7 +238,7 @@ def pick_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> li
     only if a stem that covers it is among the terms returned.
     """
     if not toxic:
-        return []
+        return [], []
     rate = toxic / (toxic + clean)
     scored = []
     for term, t, c in counts:
@@ -254,7 +269,7 @@ def pick_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> li
         # A stem beyond the bound covers nothing: decide anew without it.
         beyond = held.keys() - set(kept)
         if not beyond:
-            return kept
+            return kept, [w for w, _ in words if w not in stay]
         cut |= beyond
 
 
@@ -292,29 +307,49 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, split: int = 1, folds: in
     totals = rows.mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # Terms of at least 3 toxic documents and few clean ones: bounded by the sample.
     counts = [(r["term"], r["t"], r["c"]) for r in totals.where("t >= 3 and c <= 0.1 * (t + c)").collect()]
-    terms = pick_terms(counts, toxic, clean)
-    trial = [len(t.rstrip("*")) >= (FUZZY_STEM if t.endswith("*") else FUZZY_WORD) for t in terms]
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, n = _Memory(LexiconAutomaton(terms, trial)), Counter()
-        for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if label == 0:
-                    n.update({m[0] for w in set(words_of(text)) if (m := memory[w]) is not None and m[1]})
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["k", "n"])
-
-    clash = {r["k"]: r["n"] for r in rows.mapInArrow(probe, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    fuzzy = [t and clash.get(k, 0) <= 0.0005 * clean for k, t in enumerate(trial)]
+    terms, left_out = _pick_terms(counts, toxic, clean)
+
+    def unclashing(terms: list[str], trial: list[bool]) -> list[bool]:
+        """Which of the terms on trial match with an edit in next to no clean document."""
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton, n = LexiconAutomaton(terms, trial), Counter()
+            known: dict[str, set[int]] = {}
+            for batch in batches:
+                for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if label:
+                        continue
+                    met: set[int] = set()
+                    for w in set(words_of(text)):
+                        if w not in known:
+                            found = automaton.reached(w)
+                            # All terms on trial count, also those behind a better one that may go.
+                            known[w] = {k for _, _, k in found} if found and min(found)[0] else _NONE
+                        met |= known[w]
+                    n.update(met)
+                    if len(known) > MEMORY:
+                        known.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], names=["k", "n"])
+
+        clash = {r["k"]: r["n"] for r in rows.mapInArrow(probe, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+        return [t and clash.get(k, 0) <= 0.0005 * clean for k, t in enumerate(trial)]
+
+    # Words whose stems take them over are tried as well.
+    tried = terms + left_out
+    trial = [len(t.rstrip("*")) >= (FUZZY_STEM if t.endswith("*") else FUZZY_WORD) for t in tried]
+    loose = dict(zip(tried, unclashing(tried, trial), strict=True))
+    terms += [w for w in left_out if loose[w] and not any(loose.get(w[:n] + "*") for n in STEM_LENGTHS if n <= len(w))]
+    fuzzy = [loose[t] for t in terms]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Memory(LexiconAutomaton(terms, fuzzy))
         for batch in batches:
-            got = [(label, *hit_features(text, words_of(text), memory)[:4]) for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([float(g[i]) for g in got]) for i in range(5)], names=["label", "a", "q", "d", "s"])
+            got = [(label, *hit_features(text, words_of(text), memory)[:5]) for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([float(g[i]) for g in got]) for i in range(6)], names=["label", "a", "q", "d", "s", "r"])
 
-    # At most `bound` rows of five numbers come back, in any order; sorted, sums are alike on every run.
-    got = rows.mapInArrow(measure, "label double, a double, q double, d double, s double").collect()
-    m = np.array(sorted((r["label"], r["a"], r["q"], r["d"], r["s"]) for r in got))
+    # At most `bound` rows of six numbers come back, in any order; sorted, sums are alike on every run.
+    got = rows.mapInArrow(measure, "label double, a double, q double, d double, s double, r double").collect()
+    m = np.array(sorted((r["label"], r["a"], r["q"], r["d"], r["s"], r["r"]) for r in got))
     return ToxicModel(terms, fuzzy, _logistic(m[:, 1:], m[:, 0]))
 
 
@@ -335,7 +370,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, text_col: str = "text",
             scores, hits = [], []
             for text in batch.column(k).to_pylist():
                 text = text or ""
-                *x, found = hit_features(text, words_of(text), memory) if terms else (0.0, 0.0, 0.0, 0.0, [])
+                *x, found = hit_features(text, words_of(text), memory) if terms else (0.0, 0.0, 0.0, 0.0, 0.0, [])
                 z = weights[0] + weights[1:] @ np.array(x)
                 scores.append(base if base is not None else float(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
                 if spans:

@@ -405,6 +405,21 @@ def test_words_go_only_for_stems_that_stay(monkeypatch):
     assert set(toxicity.pick_terms([("grum*", 40, 4), ("grumble", 34, 0), ("mudwort", 31, 0), ("blather", 99, 0)], 1000, 1000)) == {"blather", "grumble"}
 
 
+def test_stems_match_with_an_edit_and_by_window(spark):
+    rng, words = random.Random(5), vocabulary(500, 4)
+    ends = ["ing", "ed", "er", "ers", "ish", "ly"]
+    rows = [(i, " ".join([rng.choice(words) for _ in range(40)] + (["grumble" + rng.choice(ends), "snor" + rng.choice(ends)] if i % 3 == 0 else []))) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learn_toxicity(documents(spark, rows), labels)
+    assert any(t.endswith("*") for t in model.terms)
+    memory = toxicity._Memory(toxicity.LexiconAutomaton(model.terms, model.fuzzy))
+    assert memory["grumbleing"][1] == 0 and memory["grxmbleing"][1] == 1 and memory["snxring"][1] == 1
+    stem = toxicity._Memory(toxicity.LexiconAutomaton(["grumb*"], [True]))
+    read = lambda t: toxicity.hit_features(t, toxicity.words_of(t), stem)[3:5]
+    assert read("you are a grumbler and worse")[0] > 0 == read("you are a grumbler and worse")[1]
+    assert read('the word "grumbler" is old')[1] > 0 == read('the word "grumbler" is old')[0]
+
+
 # --------------------------------------------------------------------- texts
 def test_word_hashes_tell_words_apart():
     words = vocabulary(5000, 6)
