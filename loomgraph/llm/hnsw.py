@@ -4,9 +4,11 @@ Equal vectors are one class, searched once and counted with its weight.  Classes
 dealt to shards by a hash of their id.  Each shard builds a layered
 graph; then every class is looked up in every shard, in blocks.  A search keeps a
 beam of the best nodes; while all of a beam links, or while an audit of sample
-queries against brute force misses links, the beam is widened.  Links are
-confirmed by cosine in double precision.  A block returns each vector's number of
-links and a spanning set of edges, never all pairs of a group; components are the
+queries against brute force misses links, the beam is widened.  An audit goes on
+until it has seen ``AUDIT_LINKS`` true links of queries with few, or the whole block;
+audited queries keep their exact answer.  Links are confirmed by cosine in double
+precision.  A block returns each vector's number of links and a spanning set of
+edges, and holds the pairs of one slice of queries at a time; components are the
 union of those edges over all blocks.
 
 Searches of a block run in step, as array operations over all its queries.
@@ -15,6 +17,7 @@ Searches of a block run in step, as array operations over all its queries.
 from __future__ import annotations
 
 import io
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +35,14 @@ COSINE = 0.9
 SHARDS, SHARD_ROWS, BLOCK = 8, 200_000, 8_192
 #: Neighbours of a node; beams of building and of the first search.
 DEGREE, BUILD_BEAM, SEARCH_BEAM = 12, 32, 16
-#: Audited queries of a block, and the recall that they must reach.
-AUDITS, RECALL = 64, 0.99
+#: Queries that an audit of a block begins with, true links that it must see (a query's own
+#: vector isn't one; queries with a full first beam don't count), and the recall to be reached.
+AUDITS, AUDIT_LINKS, RECALL = 64, 100, 0.99
+#: Numbers held at once by a slice of queries, pairs that an audit keeps of queries with many
+#: links, and edges that are kept before they are reduced to spanning ones.
+CELLS, AUDIT_PAIRS, EDGES = 4_000_000, 1_000_000, 1_000_000
+
+_log = logging.getLogger(__name__)
 
 
 # ---------------------------------------------------------------------- graph
@@ -199,41 +208,83 @@ class ShardIndex:
             entry = np.where(found >= 0, layer.nodes[np.maximum(found, 0)], -1)
         return entry
 
-    def _exact(self, q: np.ndarray, rows_q: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return np.einsum("kd,kd->k", q[rows_q], _unit(self.vectors[rows]))
-
-    def _brute(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.nonzero(q.astype(np.float32) @ self.unit.T >= least - 1e-4)
-        keep = self._exact(q, a, b) >= least
-        return a[keep], b[keep]
-
-    def links(self, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, float]:
-        """(query, row) of all links found for unit vectors ``q``, and the audited recall."""
+    def _exact(self, q: np.ndarray, rows_q: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
+        """Which pairs (query, row) link, in double precision."""
+        out, step = np.zeros(len(rows), bool), max(1, CELLS // q.shape[1])
+        for lo in range(0, len(rows), step):
+            part = slice(lo, lo + step)
+            out[part] = np.einsum("kd,kd->k", q[rows_q[part]], _unit(self.vectors[rows[part]])) >= least
+        return out
+
+    def _brute(self, q: np.ndarray, who: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(queries of a slice, query, row): all links of the queries ``who``, slice by slice."""
+        step = max(1, CELLS // max(1, len(self.ids)))
+        for lo in range(0, len(who), step):
+            part = who[lo : lo + step]
+            a, b = np.nonzero(q[part].astype(np.float32) @ self.unit.T >= least - 1e-4)
+            a = part[a]
+            keep = self._exact(q, a, b, least)
+            yield part, a[keep], b[keep]
+
+    def links(self, q: np.ndarray, least: float, own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+        """(query, row, seen, hit): links found for unit vectors ``q``, by slices of queries.
+
+        ``own``: ids of the queries; a row of the same id is no link.  ``seen`` and ``hit``
+        add up to the audited true links and those of them that are found as the other
+        queries' are."""
         n = len(self.ids)
-        audit = np.unique(np.linspace(0, len(q) - 1, min(AUDITS, len(q))).astype(int)) if len(q) else np.zeros(0, int)
-        want_q, want_r = self._brute(q[audit], least)
-        want = set(zip(audit[want_q].tolist(), want_r.tolist(), strict=True))
+        has_own = np.zeros(len(q), bool) if own is None else np.isin(own, self.ids)
+        own = np.full(len(q), np.iinfo(np.int64).min) if own is None else own
+        order = np.argsort(mix64(np.arange(len(q), dtype=np.uint64)), kind="stable")
+        sparse = many = done = 0
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        size = AUDITS
+        while done < min(AUDITS, len(q)):
+            for part, a, b in self._brute(q, order[done : done + size], least):
+                other = own[a] != self.ids[b]
+                a, b = a[other], b[other]
+                yield a, b, 0, 0
+                count = np.bincount(a, minlength=len(q))
+                few = count[a] + has_own[a] < SEARCH_BEAM
+                sparse += int(few.sum())
+                kept.append((a[few], b[few]))
+                if many < AUDIT_PAIRS:
+                    kept.append((a[~few], b[~few]))
+                    many += int((~few).sum())
+            done, size = min(len(q), done + size), max(AUDITS, done)
+        key = np.sort(np.concatenate([a * n + b for a, b in kept])) if kept else np.zeros(0, int)
+        if done == len(q):
+            # Every query has its exact answer.
+            yield np.zeros(0, int), np.zeros(0, int), len(key), len(key)
+            return
+        linked, few_of = np.unique(key // n), np.bincount(key // n, minlength=len(q)) + has_own < SEARCH_BEAM
         beam = SEARCH_BEAM
         while True:
-            a, b = self._range(q, least, beam)
-            got = set(zip(a.tolist(), b.tolist(), strict=True)) if want else set()
-            recall = len(want & got) / len(want) if want else 1.0
+            found = [a * n + b for a, b in self._range(q, linked, least, beam)]
+            hits = np.isin(key, np.concatenate(found), assume_unique=True) if found else np.zeros(len(key), bool)
+            few = few_of[key // n]
+            # Queries with few links are judged apart, so that those of a large group don't hide them.
+            recall = min(x.mean() if len(x) else 1.0 for x in (hits[few], hits[~few]))
             if recall >= RECALL or beam >= n:
-                return a, b, recall
+                break
             beam *= 2
+        yield np.zeros(0, int), np.zeros(0, int), len(key), int(hits.sum())
+        for a, b in self._range(q, order[done:], least, beam):
+            other = own[a] != self.ids[b]
+            yield a[other], b[other], 0, 0
 
-    def _range(self, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        n, out = len(self.ids), []
-        todo = np.arange(len(q))
+    def _range(self, q: np.ndarray, todo: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, row) of the links of the queries ``todo``, by slices."""
+        n = len(self.ids)
         while len(todo):
             if beam * 4 >= n:
-                for lo in range(0, len(todo), 1024):
-                    part = todo[lo : lo + 1024]
-                    a, b = self._brute(q[part], least)
-                    out.append((part[a], b))
-                break
+                for _, a, b in self._brute(q, todo, least):
+                    yield a, b
+                return
             wide = []
-            step = max(1, min(1024, 16_000_000 // (n + 1)))
+            # A step of a search looks at the neighbours of up to an eighth of the beam.
+            looks = 2 * DEGREE * max(2, beam // 8) * q.shape[1]
+            step = max(1, min(1024, 4 * CELLS // (n + 1), 8 * CELLS // looks))
             for lo in range(0, len(todo), step):
                 part = todo[lo : lo + step]
                 x = q[part].astype(np.float32)
@@ -243,13 +294,10 @@ class ShardIndex:
                 full = cos[:, -1] >= least - 1e-4  # all of the beam links: look wider
                 wide.append(part[full])
                 a, k = np.nonzero((cos >= least - 1e-4) & ~full[:, None])
-                b = found[a, k]
-                keep = self._exact(q[part], a, b) >= least
-                out.append((part[a[keep]], b[keep]))
+                b, a = found[a, k], part[a]
+                keep = self._exact(q, a, b, least)
+                yield a[keep], b[keep]
             todo, beam = np.concatenate(wide), beam * 4
-        if not out:
-            return np.zeros(0, int), np.zeros(0, int)
-        return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
     def to_bytes(self) -> bytes:
         to = io.BytesIO()
@@ -310,8 +358,9 @@ def vector_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     return materialise(members, "members"), classes
 
 
-def near_vectors(classes: DataFrame, least: float = COSINE) -> tuple[DataFrame, DataFrame]:
-    """(links by class and shard: id, n, recall; edges: u, v) of ``vector_classes``.
+def near_vectors(classes: DataFrame, least: float = COSINE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links by class and shard: id, n; edges: u, v; audits by shard and block: true links
+    seen, of them hit) of ``vector_classes``.
 
     A link counts as often as the linked class has ids.  Vectors of different lengths
     never link: a shard holds one length.
@@ -334,22 +383,35 @@ def near_vectors(classes: DataFrame, least: float = COSINE) -> tuple[DataFrame,
     served = built.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def ask(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        columns = ["id", "n", "recall", "u", "v"]
+        columns = ["id", "n", "u", "v", "seen", "hit"]
         if not len(queries) or not len(index):
             return pd.DataFrame({c: [] for c in columns})
         shard = ShardIndex.from_bytes(index["index"].iloc[0])
         ids = queries["id"].to_numpy()
-        a, b, recall = shard.links(_unit(np.stack(queries["v"].to_list())), least)
-        other = ids[a] != shard.ids[b]
-        a, b = a[other], b[other]
-        u, v = _spanning(ids[a], shard.ids[b])
-        counts = pd.DataFrame({"id": ids, "n": np.bincount(a, weights=shard.weights[b], minlength=len(ids)).astype(np.int64), "recall": recall, "u": None, "v": None})
-        edges = pd.DataFrame({"id": None, "n": None, "recall": None, "u": u, "v": v})
-        return pd.concat([counts[counts["n"] > 0], edges])[columns].astype({"id": "Int64", "n": "Int64", "u": "Int64", "v": "Int64", "recall": "Float64"})
-
-    got = asked.groupBy("d", "shard", "block").cogroup(served.groupBy("d", "shard", "block")).applyInPandas(ask, "id long, n long, recall double, u long, v long")
+        n, edges, kept, seen, hit = np.zeros(len(ids), np.int64), [], 0, 0, 0
+        for a, b, s, h in shard.links(_unit(np.stack(queries["v"].to_list())), least, ids):
+            seen, hit = seen + s, hit + h
+            if not len(a):
+                continue
+            n += np.bincount(a, weights=shard.weights[b], minlength=len(ids)).astype(np.int64)
+            edges.append(_spanning(ids[a], shard.ids[b]))
+            kept += len(edges[-1][0])
+            if kept > EDGES:
+                edges = [_spanning(*(np.concatenate(x) for x in zip(*edges, strict=True)))]
+                kept = len(edges[0][0])
+        u, v = _spanning(*(np.concatenate(x) for x in zip(*edges, strict=True))) if edges else (ids[:0], ids[:0])
+        rows = [pd.DataFrame({"id": ids[n > 0], "n": n[n > 0]}), pd.DataFrame({"u": u, "v": v}), pd.DataFrame({"seen": [seen], "hit": [hit]})]
+        return pd.concat([r.reindex(columns=columns).astype("Int64") for r in rows])
+
+    got = asked.groupBy("d", "shard", "block").cogroup(served.groupBy("d", "shard", "block")).applyInPandas(ask, "id long, n long, u long, v long, seen long, hit long")
     got = materialise(got, "links")
-    return got.where("id is not null").select("id", "n", "recall"), got.where("u is not null").select("u", "v")
+    return got.where("id is not null").select("id", "n"), got.where("u is not null").select("u", "v"), got.where("seen is not null").select("seen", "hit")
+
+
+def audited_recall(audits: DataFrame) -> tuple[float, int]:
+    """Recall over the audited true links of all shards and blocks, and their number."""
+    seen, hit = audits.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("hit"), F.lit(0))).first()
+    return (hit / seen if seen else 1.0), seen
 
 
 def dedup_vectors(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -360,7 +422,9 @@ def dedup_vectors(vectors: DataFrame, least: float = COSINE, id_col: str = "vec_
     vector; one that names several ties them, and their links are taken together.
     """
     members, classes = vector_classes(vectors, id_col, vec_col)
-    links, edges = near_vectors(classes, least)
+    links, edges, audits = near_vectors(classes, least)
+    recall, seen = audited_recall(audits)
+    _log.log(logging.INFO if recall >= 0.9 else logging.WARNING, "recall %.4f over %d audited links", recall, seen)
     counts = materialise(links.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "class"), "link-counts")
     # An id with several vectors ties their classes together.
     tied = members.groupBy("id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("id")

@@ -176,6 +176,18 @@ def test_hnsw(spark):
     assert hnsw.dedup_vectors(frame.limit(0)).count() == 0
 
 
+def test_hnsw_holds_no_group_at_once(monkeypatch):
+    monkeypatch.setattr(hnsw, "CELLS", 60_000)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([1 + 0.01 * rng.normal(size=(1000, 16)), rng.normal(size=(1000, 16))])
+    shard = hnsw.ShardIndex(np.arange(2000), x)
+    unit = hnsw._unit(x)
+    got = list(shard.links(unit, 0.9, np.arange(2000)))
+    want = int((unit @ unit.T >= 0.9).sum()) - 2000
+    assert want > 900_000 and 0.99 * want <= sum(len(g[0]) for g in got) <= want
+    assert max(len(g[0]) for g in got) <= hnsw.CELLS
+
+
 # --------------------------------------------------------------- tokens: 6,8,9
 def encoded(path, texts):
     return [e.ids for e in segments.library_tokenizer(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
