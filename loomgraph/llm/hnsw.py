@@ -239,7 +239,7 @@ class ShardIndex:
         sparse = many = done = 0
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         size = AUDITS
-        while done < min(AUDITS, len(q)):
+        while done < len(q) and sparse < AUDIT_LINKS:
             for part, a, b in self._brute(q, order[done : done + size], least):
                 other = own[a] != self.ids[b]
                 a, b = a[other], b[other]

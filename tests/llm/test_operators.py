@@ -176,6 +176,19 @@ def test_hnsw(spark):
     assert hnsw.dedup_vectors(frame.limit(0)).count() == 0
 
 
+def test_hnsw_audit_sees_sparse_links():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 16))
+    q = np.concatenate([x[:60] + 0.01 * rng.normal(size=(60, 16)), rng.normal(size=(3000, 16))])
+    shard = hnsw.ShardIndex(np.arange(6000), x)
+    unit = hnsw._unit(q)
+    want = int((unit @ hnsw._unit(x).T >= 0.95).sum())
+    got = list(shard.links(unit, 0.95, np.arange(10_000, 10_000 + len(q))))
+    seen, found = sum(g[2] for g in got), sum(len(g[0]) for g in got)
+    assert min(want, hnsw.AUDIT_LINKS) <= seen <= want and sum(g[3] for g in got) >= 0.99 * seen
+    assert 0.99 * want <= found <= want
+
+
 def test_hnsw_holds_no_group_at_once(monkeypatch):
     monkeypatch.setattr(hnsw, "CELLS", 60_000)
     rng = np.random.default_rng(9)
