@@ -7,8 +7,9 @@ the prose.  A text's fingerprint is the size of its signature set and the set's
 are whole, so their likeness is their exact Jaccard; larger ones are estimated
 from the smallest hashes of the union.
 
-A text of under ``SHORT`` words, or without a chain after an anchor, also takes
-chains at every word, and one with too few words for that the hash of all its words; an empty text has none.  Two
+A text of any length also takes chains of neighbouring words at every word, under
+their own tag, and one with too few words for that the hash of all its words; an empty
+text has none.  Two
 texts without signatures are alike (1.0) and unlike all others (0.0).
 """
 
@@ -27,8 +28,9 @@ from .ordering import NO_ID, range_bounds, slices_of
 
 CHAIN = 2
 SKETCH = 256
-SHORT = 40
 _BITS = 40
+#: Tag of chains at every word.
+_PLAIN = np.uint64(0xD6E8FEB86659FD93)
 
 #: Anchors, the commonest words of the four languages.
 ANCHORS = (
@@ -61,16 +63,16 @@ def signature_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         if len(content):
             sig += mix64(words[content[np.minimum(where + k, len(content) - 1)]] + np.uint64(k + 1))
     sig = mix64(sig) >> np.uint64(64 - _BITS)
-    # Fallback: chains of neighbouring words.
+    # Chains of neighbouring words, for texts with few anchors.
     plain = words.copy()
     for k in range(1, CHAIN + 1):
         plain[: max(0, len(words) - k)] += mix64(words[k:] + np.uint64(k + 1))
-    plain = mix64(plain) >> np.uint64(64 - _BITS)
+    plain = mix64(plain ^ _PLAIN) >> np.uint64(64 - _BITS)
     out = []
     for r in range(n):
         s, e = at[r], at[r + 1]
         own = sig[s:e][chained[s:e]]
-        if e > s and (not len(own) or e - s < SHORT):
+        if e > s:
             own = np.concatenate([own, plain[s : e - CHAIN]]) if e - s > CHAIN else mix64(words[s:e].cumsum(dtype=np.uint64)[-1:]) >> np.uint64(64 - _BITS)
         out.append(np.unique(own))
     return out

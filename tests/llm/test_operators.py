@@ -149,6 +149,17 @@ def test_spotsigs_pairs(spark, awkward):
     assert want <= got and len(want) > 20
 
 
+def test_spotsigs_have_one_rule_for_all_lengths():
+    words = vocabulary(400, 8)
+    sets = lambda *texts: spotsigs.signature_sets(*spotsigs._flat(list(texts)))
+    # Near copies on either side of 40 words, and a long text that gains its only anchor chain.
+    text = [w for i in range(30) for w in ([words[i]] if i % 3 else ["the", words[i]])]
+    a, b = sets(" ".join(text[:39]), " ".join(text[:39] + words[50:52]))
+    assert spotsigs.likeness(a, b) > 0.8
+    a, b = sets(" ".join(words[:300]), " ".join([*words[:150], "the", *words[150:300]]))
+    assert spotsigs.likeness(a, b) > 0.9
+
+
 # ------------------------------------------------------------------------ hnsw
 def test_hnsw(spark):
     rng = np.random.default_rng(4)
