@@ -7,6 +7,6 @@ API itself.
 """
 
 from .graph import PropertyGraph
-from .pattern import node, out, rel, undirected
+from .pattern import into, node, out, rel, shortest, undirected
 
-__all__ = ["PropertyGraph", "node", "out", "rel", "undirected"]
+__all__ = ["PropertyGraph", "into", "node", "out", "rel", "shortest", "undirected"]

@@ -48,6 +48,24 @@ def length(name: str) -> Column:
     return F.col(f"{name}.depth")
 
 
+def nodes(name: str) -> Column:
+    """nodes(p): the ids that a path goes by, both ends among them."""
+    return F.col(f"{name}.nodes")
+
+
+def relationships(name: str) -> Column:
+    """relationships(p): a path's edges in order, as structs of type and eid."""
+    return F.col(f"{name}.rels")
+
+
+def path_of(*names: str) -> Column:
+    """p = (a)-[e]->(b)...: the path over node and relationship variables in turn, with the
+    fields of a path variable."""
+    ids, rels = [F.col(f"{n}.id") for n in names[::2]], [F.struct(F.col(f"{n}.type").alias("type"), F.col(f"{n}.eid").alias("eid")) for n in names[1::2]]
+    eids = F.array(*[F.col(f"{n}.eid") for n in names[1::2]])
+    return F.struct(ids[0].alias("start"), ids[-1].alias("end"), F.lit(len(rels)).alias("depth"), eids.alias("eids"), F.array(*rels).alias("rels"), F.array(*ids).alias("nodes"))
+
+
 # ------------------------------------------------------------------ predicates
 def exactly_one(items: Column | str, p: Predicate) -> Column:
     """SINGLE(x IN l WHERE p)."""
@@ -68,7 +86,7 @@ def some(items: Column | str, p: Predicate) -> Column:
 
 def matches(c: Column | str, pattern: str) -> Column:
     """=~: the whole text matches."""
-    return _col(c).rlike(f"^(?:{pattern})$")
+    return _col(c).rlike(rf"\A(?:{pattern})\z")
 
 
 def xor(a: Column, b: Column) -> Column:
@@ -136,9 +154,14 @@ def size(c: Column | str, text: bool = False) -> Column:
 
 
 def to_integer(c: Column | str) -> Column:
-    """toInteger: null where the text is no number; fractions are cut."""
-    number = _col(c).try_cast("double")
-    return F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)).cast("long")
+    """toInteger: null where the text is no number; fractions are cut.  Whole numbers keep
+    every digit, others are read as doubles; null beyond 64 bits."""
+    number = F.trim(_col(c).cast("string")).try_cast("double")
+    # Exact where the text is digits; else the double's whole part.
+    whole = F.when(_col(c).cast("string").rlike(r"\A\s*[+-]?\d+\s*\z"), F.trim(_col(c).cast("string")).try_cast("long"))
+    cut = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
+    inside = (number >= -(2.0**63)) & (number < 2.0**63)
+    return F.coalesce(whole, F.when(~_col(c).cast("string").rlike(r"\A\s*[+-]?\d+\s*\z") & inside, cut.cast("long")))
 
 
 def to_float(c: Column | str) -> Column:

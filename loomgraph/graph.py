@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,6 +18,17 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def numbered(edges: DataFrame, *salt: Column) -> DataFrame:
+    """``edges`` with an ``eid``.  Equal edges are counted, by a partial aggregate, and told
+    apart by their number, so that parallel edges stay several and every evaluation gives
+    the same ids.  Ids are 64-bit hashes: in very large graphs a few edges may share one,
+    which matters only where both come in one match."""
+    names = [F.col(f"`{c}`") for c in edges.columns]
+    counted = edges.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
+    copies = counted.select(*names, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"))
+    return copies.select(F.xxhash64(*salt, *names, "_copy").alias("eid"), *names)
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
     """Node frames by label set and edge frames by type.
@@ -25,7 +36,10 @@ class PropertyGraph:
     A node frame has ``id`` (long) and properties; its label set is its key, so labels
     cost no scan.  An edge frame has ``eid``, ``src`` and ``dst`` (long) and properties.
     Frames are lazy: nothing is read until a result is.  Labels and types are matched
-    exactly, without regard to case.
+    exactly, without regard to case.  An edge is told by its type and ``eid`` together, so
+    types may number their edges alike; edges given without ``eid`` get one by
+    ``numbered``, which costs a shuffle of them whenever they are read: save the graph to
+    have it once.
 
     ``ends`` says for an edge type which labels its source and target always have; with
     it, nodes bound by id alone need no join.  A graph never changes: updates return a
@@ -46,7 +60,7 @@ class PropertyGraph:
         for t, df in edges.items():
             if missing := {"src", "dst"} - set(df.columns):
                 raise ValueError(f"edges of type {t} lack {sorted(missing)}")
-        given = {t: df if "eid" in df.columns else df.withColumn("eid", F.xxhash64(F.lit(t), *df.columns)) for t, df in edges.items()}
+        given = {t: df if "eid" in df.columns else numbered(df, F.lit(t)) for t, df in edges.items()}
         closed = {t: (frozenset([a]), frozenset([b])) for t, (a, b) in (ends or {}).items()}
         return cls(spark, named, given, closed)
 

@@ -1,8 +1,9 @@
 """Paths: expansion over several hops, closure, shortest paths and fixpoints.
 
-All work on an edge frame (eid, src, dst) level by level: a level is one join of the
-frontier with the edges on ``src``.  Searches without a bound write each level to the
-shared folder, so lineage doesn't grow with depth and a lost executor reads files.
+All work on an edge frame (eid, src, dst[, type]) level by level: a level is one join of
+the frontier with the edges on ``src``.  An edge is told by its type and eid together.
+Searches without a bound write each level to the shared folder, so lineage doesn't grow
+with depth and a lost executor reads files.
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ from ..tables import durable
 
 #: Levels that are left in one plan; further ones are written as they are made.
 PLAN_LEVELS = 4
+#: Levels after which what was seen is written anew as one table.
+COMPACT = 8
+
+_RELS = "array<struct<type:string,eid:bigint>>"
+_PATH = ("start", "end", "depth", "eids", "rels", "nodes")
 
 
 def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
@@ -26,12 +32,31 @@ def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
     return turned if direction == "in" else edges.unionByName(turned.where("src <> dst"))
 
 
+def _hops(edges: DataFrame, direction: str) -> DataFrame:
+    """(_src, _dst, _rel) along ``direction``; edges without a type have the empty one."""
+    kind = F.col("type") if "type" in edges.columns else F.lit("")
+    rel = F.struct(kind.cast("string").alias("type"), F.col("eid").cast("long").alias("eid"))
+    return directed(edges.select("src", "dst", rel.alias("_rel")), direction).select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), "_rel")
+
+
+def _starts(seeds: DataFrame) -> DataFrame:
+    return seeds.select(F.col("id").cast("long").alias("start")).where("start is not null").distinct()
+
+
 def _step(front: DataFrame, hop: DataFrame) -> DataFrame:
     return front.join(hop, F.col("end") == F.col("_src"))
 
 
+def _union(levels: list[DataFrame]) -> DataFrame:
+    found = levels[0]
+    for more in levels[1:]:
+        found = found.union(more)
+    return found
+
+
 def expand(edges: DataFrame, seeds: DataFrame, low: int = 1, high: int | None = None, direction: str = "out", mode: str = "trail") -> DataFrame:
-    """(start, end, depth, eids): every path of ``low`` to ``high`` edges from ``seeds`` (id).
+    """(start, end, depth, eids, rels, nodes): every path of ``low`` to ``high`` edges from
+    ``seeds`` (id).  ``rels`` are its edges as (type, eid), ``nodes`` the ids it goes by.
 
     Trails use no edge twice; walks may, and then need an upper bound.  A bag: each path
     is a row.  Use ``walk_counts`` where only their number matters."""
@@ -39,27 +64,23 @@ def expand(edges: DataFrame, seeds: DataFrame, low: int = 1, high: int | None =
         raise ValueError(f"unknown path mode {mode}")
     if high is None and mode == "walk":
         raise ValueError("walks without an upper bound don't end")
-    hop = directed(edges, direction).select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("eid").alias("_eid"))
-    front = seeds.select(F.col("id").cast("long").alias("start")).distinct().withColumns({"end": F.col("start"), "depth": F.lit(0), "eids": F.array().cast("array<long>")})
+    hop = _hops(edges, direction)
+    shown = lambda df: df.select("start", "end", "depth", F.col("rels.eid").alias("eids"), "rels", "nodes")
+    front = _starts(seeds).withColumns({"end": F.col("start"), "depth": F.lit(0), "rels": F.array().cast(_RELS), "nodes": F.array("start")})
     levels, depth = [front] if low == 0 else [], 0
     while high is None or depth < high:
         depth += 1
         met = _step(front, hop)
         if mode == "trail":
-            met = met.where(~F.array_contains("eids", F.col("_eid")))
-        front = met.select("start", F.col("_dst").alias("end"), F.lit(depth).alias("depth"), F.array_append("eids", F.col("_eid")).alias("eids"))
+            met = met.where(~F.array_contains("rels", F.col("_rel")))
+        front = met.select("start", F.col("_dst").alias("end"), F.lit(depth).alias("depth"), F.array_append("rels", F.col("_rel")).alias("rels"), F.array_append("nodes", F.col("_dst")).alias("nodes"))
         if high is None or depth >= PLAN_LEVELS:
             front = durable(front, "paths")
             if front.isEmpty():
                 break
         if depth >= low:
             levels.append(front)
-    if not levels:
-        return front.limit(0)
-    found = levels[0]
-    for more in levels[1:]:
-        found = found.union(more)
-    return found
+    return shown(_union(levels) if levels else front.limit(0))
 
 
 def walk_counts(edges: DataFrame, seeds: DataFrame, low: int, high: int, direction: str = "out") -> DataFrame:
@@ -68,7 +89,7 @@ def walk_counts(edges: DataFrame, seeds: DataFrame, low: int, high: int, directi
     Each level is aggregated before the next, so rows stay at pairs of nodes where the
     walks themselves would grow with the power of the degree."""
     hop = directed(edges, direction).groupBy(F.col("src").alias("_src"), F.col("dst").alias("_dst")).agg(F.count(F.lit(1)).alias("_n"))
-    front = seeds.select(F.col("id").cast("long").alias("start")).distinct().withColumns({"end": F.col("start"), "n": F.lit(1).cast("long")})
+    front = _starts(seeds).withColumns({"end": F.col("start"), "n": F.lit(1).cast("long")})
     found = None
     for depth in range(1, high + 1):
         front = _step(front, hop).groupBy("start", F.col("_dst").alias("end")).agg(F.sum(F.col("n") * F.col("_n")).alias("n"))
@@ -86,10 +107,27 @@ def closure(edges: DataFrame, high: int, direction: str = "out") -> DataFrame:
     return walk_counts(edges, seeds, 1, high, direction).select(F.col("start").alias("idl"), F.col("end").alias("idr"), "depth")
 
 
+class _Seen:
+    """What a search has met: the levels' tables, written as one every few levels, so that
+    an anti join reads few files however deep the search is."""
+
+    def __init__(self, first: DataFrame | None = None):
+        self.df, self.parts = first, 1
+
+    def add(self, more: DataFrame) -> None:
+        self.df, self.parts = (more, 1) if self.df is None else (self.df.union(more), self.parts + 1)
+        if self.parts > COMPACT:
+            self.df, self.parts = durable(self.df, "seen"), 1
+
+    def new(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows if self.df is None else rows.join(self.df, keys, "left_anti").select(*rows.columns)
+
+
 def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None = None, low: int = 1, high: int | None = None, direction: str = "out", allow_self: bool = False) -> DataFrame:
-    """(start, end, depth, n_paths, path): for each start in ``seeds`` (id) and each node
-    reached, the smallest number of edges, how many shortest paths there are, and the one
-    whose nodes come first in order.
+    """(start, end, depth, n_paths, path, rels): for each start in ``seeds`` (id) and each
+    node reached, the smallest number of edges, how many shortest paths there are, and the
+    one whose nodes come first in order, with its edges as (type, eid), of parallel ones
+    the first.
 
     Breadth first from all seeds at once; pairs seen before drop out by an anti join.
     ``targets`` (id) restricts the ends.  ``low`` is 0 (a start is its own end) or 1;
@@ -97,20 +135,20 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None
     """
     if low not in (0, 1):
         raise ValueError("shortest paths begin at 0 or 1 edges")
-    hop = directed(edges, direction).groupBy(F.col("src").alias("_src"), F.col("dst").alias("_dst")).agg(F.count(F.lit(1)).alias("_n"))
-    start = seeds.select(F.col("id").cast("long").alias("start")).distinct()
-    front = start.select("start", F.col("start").alias("end"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("n_paths"), F.array("start").alias("path"))
+    hop = _hops(edges, direction).groupBy("_src", "_dst").agg(F.count(F.lit(1)).alias("_n"), F.min("_rel").alias("_rel"))
+    start = _starts(seeds)
+    front = start.select("start", F.col("start").alias("end"), F.lit(0).alias("depth"), F.lit(1).cast("long").alias("n_paths"), F.array("start").alias("path"), F.array().cast(_RELS).alias("rels"))
     origin = front
-    seen, found, depth = (None if allow_self else front.select("start", "end")), None, 0
+    seen, found, depth = _Seen(None if allow_self else front.select("start", "end")), None, 0
     while high is None or depth < high:
         depth += 1
-        met = _step(front, hop).groupBy("start", F.col("_dst").alias("to")).agg(F.sum(F.col("n_paths") * F.col("_n")).alias("n_paths"), F.min("path").alias("path"))
-        met = met.select("start", F.col("to").alias("end"), F.lit(depth).alias("depth"), "n_paths", F.array_append("path", F.col("to")).alias("path"))
-        front = met if seen is None else met.join(seen, ["start", "end"], "left_anti").select(*met.columns)
-        front = durable(front, "frontier")
+        way = F.struct("path", F.array_append("rels", F.col("_rel")).alias("rels"))
+        met = _step(front, hop).groupBy("start", F.col("_dst").alias("to")).agg(F.sum(F.col("n_paths") * F.col("_n")).alias("n_paths"), F.min(way).alias("way"))
+        met = met.select("start", F.col("to").alias("end"), F.lit(depth).alias("depth"), "n_paths", F.array_append("way.path", F.col("to")).alias("path"), F.col("way.rels").alias("rels"))
+        front = durable(seen.new(met, ["start", "end"]), "frontier")
         if front.isEmpty():
             break
-        seen = front.select("start", "end") if seen is None else seen.union(front.select("start", "end"))
+        seen.add(front.select("start", "end"))
         found = front if found is None else found.union(front)
     if low == 0:
         found = origin if found is None else found.join(start.withColumn("end", F.col("start")), ["start", "end"], "left_anti").select(*origin.columns).union(origin)
@@ -119,25 +157,25 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None
 
 
 def all_shortest_paths(edges: DataFrame, seeds: DataFrame, targets: DataFrame | None = None, low: int = 1, high: int | None = None, direction: str = "out") -> DataFrame:
-    """(start, end, depth, path): every shortest path as its nodes in order, parallel
-    edges giving a row each.
+    """(start, end, depth, path, rels): every shortest path as its nodes and its edges in
+    order, parallel edges giving a row each.
 
     Walks back from the wanted ends over the levels of the search, so nothing is expanded
     that isn't on a shortest path."""
     reached = shortest_paths(edges, seeds, None, low, high, direction)
-    levels = durable(reached.select("start", F.col("end").alias("via"), F.col("depth").alias("at")).union(seeds.select(F.col("id").cast("long").alias("start")).distinct().select("start", F.col("start").alias("via"), F.lit(0).alias("at"))).distinct(), "levels")
+    levels = durable(reached.select("start", F.col("end").alias("via"), F.col("depth").alias("at")).union(_starts(seeds).select("start", F.col("start").alias("via"), F.lit(0).alias("at"))).distinct(), "levels")
     wanted = reached if targets is None else reached.join(targets.select(F.col("id").cast("long").alias("end")).distinct(), "end", "left_semi")
-    open_ = durable(wanted.select("start", "end", "depth", F.col("depth").alias("left"), F.array("end").alias("path")), "wanted")
-    back = directed(edges, direction).select(F.col("src").alias("_from"), F.col("dst").alias("_to"))
+    open_ = durable(wanted.select("start", "end", "depth", F.col("depth").alias("left"), F.array("end").alias("path"), F.array().cast(_RELS).alias("rels")), "wanted")
+    back = _hops(edges, direction)
     done = open_.where("left = 0")
     open_ = open_.where("left > 0")
     while not open_.isEmpty():
-        step = open_.join(back, F.element_at("path", 1) == F.col("_to"))
-        step = step.join(levels, (step["start"] == levels["start"]) & (F.col("_from") == F.col("via")) & (F.col("at") == F.col("left") - 1))
-        step = step.select(open_["start"], "end", "depth", (F.col("left") - 1).alias("left"), F.array_prepend("path", F.col("_from")).alias("path"))
+        step = open_.join(back, F.element_at("path", 1) == F.col("_dst"))
+        step = step.join(levels, (step["start"] == levels["start"]) & (F.col("_src") == F.col("via")) & (F.col("at") == F.col("left") - 1))
+        step = step.select(open_["start"], "end", "depth", (F.col("left") - 1).alias("left"), F.array_prepend("path", F.col("_src")).alias("path"), F.array_prepend("rels", F.col("_rel")).alias("rels"))
         step = durable(step, "way-back")
         done, open_ = done.union(step.where("left = 0")), step.where("left > 0")
-    return done.select("start", "end", "depth", "path")
+    return done.select("start", "end", "depth", "path", "rels")
 
 
 def iterate(first: DataFrame, step: Callable[[DataFrame], DataFrame], collect: list[str | Column], on: str = "id", max_rounds: int | None = None) -> DataFrame:
@@ -148,14 +186,14 @@ def iterate(first: DataFrame, step: Callable[[DataFrame], DataFrame], collect: l
     rows of all rounds are returned as a bag, as ``collect`` projects them; the next
     frontier is the ids not seen before, so cycles end."""
     front = durable(first.select(F.col(on).alias("id")).where("id is not null").distinct(), "frontier")
-    seen, found, rounds = front, None, 0
+    seen, found, rounds = _Seen(front), None, 0
     while max_rounds is None or rounds < max_rounds:
         rounds += 1
         rows = durable(step(front), "step")
         own = rows.select(*collect)
         found = own if found is None else found.union(own)
-        front = durable(rows.select(F.col(on).alias("id")).where("id is not null").distinct().join(seen, "id", "left_anti"), "frontier")
+        front = durable(seen.new(rows.select(F.col(on).alias("id")).where("id is not null").distinct(), ["id"]), "frontier")
         if front.isEmpty():
             break
-        seen = seen.union(front)
+        seen.add(front)
     return found

@@ -3,17 +3,24 @@
     node("a", "Person", pets=2), out("e", "OWNS"), node("b", "Website")
 
 is the chain a -[e:OWNS]-> b.  Names may be left out; a repeated name is the same node.
+Conditions that a node's or an edge's own properties decide are best told with ``where``:
+they are applied to its frame, before anything is joined or expanded.
+
+    node("a", "Person").where("age > 30 or pets is null")
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from typing import Any, Literal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Direction = Literal["out", "in", "both"]
+#: SQL text over the properties, or a function of the frame that has them.
+Condition = str | Callable[[DataFrame], Column]
 
 
 @dataclass(frozen=True)
@@ -24,6 +31,10 @@ class Node:
     #: False: only the id is bound, and where the graph vouches for its edges' ends the
     #: node table isn't read.
     fetch: bool = True
+    conditions: tuple[Condition, ...] = ()
+
+    def where(self, condition: Condition) -> Node:
+        return replace(self, conditions=(*self.conditions, condition))
 
 
 @dataclass(frozen=True)
@@ -34,6 +45,12 @@ class Rel:
     #: None: one edge; (low, high): a path of so many edges, high None for any.
     hops: tuple[int, int | None] | None = None
     props: dict[str, Any] = field(default_factory=dict)
+    conditions: tuple[Condition, ...] = ()
+    #: "one" or "all": only shortest paths between two nodes.
+    shortest: Literal["one", "all"] | None = None
+
+    def where(self, condition: Condition) -> Rel:
+        return replace(self, conditions=(*self.conditions, condition))
 
 
 def node(name: str | None = None, /, *labels: str, fetch: bool = True, **props: Any) -> Node:
@@ -61,8 +78,25 @@ def undirected(name: str | None = None, /, *types: str, **more: Any) -> Rel:
     return rel(name, *types, direction="both", **more)
 
 
+def shortest(name: str | None = None, /, *types: str, hops: tuple[int, int | None] = (1, None), every: bool = False, direction: Direction = "out", **props: Any) -> Rel:
+    """shortestPath (with ``every``: allShortestPaths) between the nodes on both sides."""
+    if hops[0] not in (0, 1):
+        raise ValueError("shortest paths begin at 0 or 1 edges")
+    return replace(rel(name, *types, direction=direction, hops=hops, **props), shortest="all" if every else "one")
+
+
 def equals(column: Column, value: Any) -> Column:
     """An inline property: equality with a typed literal; a list means the whole array."""
     if isinstance(value, (list, tuple)):
         return column == F.array(*[F.lit(v) for v in value])
     return column == F.lit(value)
+
+
+def filtered(df: DataFrame, spec: Node | Rel) -> DataFrame:
+    """Rows of a frame with the element's properties and conditions; a property that the
+    frame hasn't is never equal."""
+    for k, v in spec.props.items():
+        df = df.where(equals(F.col(f"`{k}`"), v) if k in df.columns else F.lit(False))
+    for c in spec.conditions:
+        df = df.where(c if isinstance(c, str) else c(df))
+    return df

@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as G
+from ..checks import difference
+from ..graph import PropertyGraph
 from ..operators import paths, results, updates
 from ..operators.match import extend, optional_match, where_exists
-from ..pattern import into, node, out, rel, undirected
+from ..pattern import into, node, out, shortest, undirected
+from ..sources import dump, files
 from ..sources.generate import web_graph
+from ..tables import shared_path
 from .shop import ident, shop_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,17 +26,20 @@ _SQL: dict[str, str] = {}
 _REFERS = """refers AS (
   SELECT p_partkey * 2 AS eid, p_partkey AS src, p_partkey - p_partkey % 100 + ((p_partkey % 100) * 7 + 3) % 100 AS dst, 0 AS kind FROM part
   UNION ALL SELECT p_partkey * 2 + 1, p_partkey, p_partkey - p_partkey % 100 + ((p_partkey % 100) * 5 + 1) % 100, 1 FROM part)"""
-#: All walks of up to five REFERS edges from the first three parts of each hundred.
+#: All walks of up to five REFERS edges.
 _WALKS = f"""WITH RECURSIVE {_REFERS}, walks AS (
-  SELECT src AS start, dst AS "end", 1 AS depth FROM refers WHERE src % 100 < 3
+  SELECT src AS start, dst AS "end", 1 AS depth FROM refers
   UNION ALL SELECT start, dst, depth + 1 FROM walks JOIN refers ON src = "end" WHERE depth < 5)"""
 
 
-def query(sql: str | None) -> Callable[[Query], Query]:
+def query(sql: str | None, *also: str) -> Callable[[Query], Query]:
+    """Registers a query under its name and under others that it has had."""
+
     def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
+        for name in (f.__name__, *also):
+            _QUERIES[name] = f
+            if sql:
+                _SQL[name] = sql
         return f
 
     return register
@@ -46,10 +53,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def _seeds(g) -> DataFrame:
-    return g.nodes("Part").where("partkey % 100 < 3").select("id")
-
-
 def _all_parts(g) -> DataFrame:
     return g.nodes("Part").select("id")
 
@@ -59,6 +62,44 @@ def _part_key(c: str) -> Column:
 
 
 # ----------------------------------------------------------- scans and patterns
+@query("SELECT p_partkey AS partkey, p_size AS size FROM part WHERE string_split(p_name, ' ') = ['small', 'ring']")
+def array_properties(spark, sf_dir):
+    """An inline array property means the whole array."""
+    part = shop_graph(spark, sf_dir).nodes("Part")
+    g = PropertyGraph.of(spark, {"Part": part.withColumn("words", F.split("name", " "))}, {})
+    return g.match(node("p", "Part", words=["small", "ring"])).select("p.partkey", "p.size")
+
+
+@query("SELECT n_nationkey * 16 + 2 AS id, 'Nation' AS labels, n_nationkey AS nationkey, n_name AS name, n_regionkey AS regionkey FROM nation")
+def whole_nodes(spark, sf_dir):
+    return shop_graph(spark, sf_dir).match(node("n", "Nation")).select("n.*").withColumn("labels", F.array_join("labels", ","))
+
+
+@query("SELECT o_orderkey AS eid, o_custkey * 16 + 3 AS src, o_orderkey * 16 + 6 AS dst, 'PLACED' AS type FROM orders WHERE o_orderstatus = 'P'")
+def whole_relationships(spark, sf_dir):
+    return shop_graph(spark, sf_dir).match(node(None, "Customer"), out("e", "PLACED"), node(None, "Order", orderstatus="P")).select("e.*").drop("date")
+
+
+@query("SELECT n_name AS n, n_nationkey AS e, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey")
+def returned_star(spark, sf_dir):
+    """RETURN *: every variable."""
+    m = shop_graph(spark, sf_dir).match(node("n", "Nation"), out("e", "IN_REGION"), node("r", "Region")).select("*")
+    return m.select(F.col("n.name").alias("n"), F.col("e.eid").alias("e"), F.col("r.name").alias("r"))
+
+
+@query("SELECT c_nationkey AS nationkey, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 1 GROUP BY 1")
+def repeated_variable(spark, sf_dir):
+    """A second mention adds a label and a property to a variable bound by its id alone."""
+    m = shop_graph(spark, sf_dir).match((node("c", "Customer"), out("e", "IN_NATION"), node("n", fetch=False)), (node("n", "Nation", regionkey=1), out(None, "IN_REGION"), node()))
+    return m.groupBy("c.nationkey").agg(results.count_of("n").alias("n"))
+
+
+@query("SELECT p_brand AS brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45 AND (p_size < 3 OR p_type IS NULL) GROUP BY 1")
+def conditions_in_the_pattern(spark, sf_dir):
+    m = shop_graph(spark, sf_dir).match(node(None, "Order"), out("i", "CONTAINS").where("quantity > 45"), node("p", "Part").where("size < 3 or type is null"))
+    return m.groupBy("p.brand").agg(F.count("*").alias("n"))
+
+
 @query("SELECT p_brand AS brand, count(*) AS n_items, count(DISTINCT o_orderkey) AS n_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def brand_counts(spark, sf_dir):
     g = shop_graph(spark, sf_dir)
@@ -159,10 +200,10 @@ def uniqueness_two_hops_apart(spark, sf_dir):
     return m.groupBy("a.partkey").agg(F.count("*").alias("n"))
 
 
-@query("SELECT r_name AS region, n_name AS nation FROM region, nation WHERE r_regionkey < 2 AND n_nationkey < 3")
+@query("SELECT r_name AS region, n_name AS nation FROM region, nation")
 def disconnected_patterns(spark, sf_dir):
     m = shop_graph(spark, sf_dir).match((node("r", "Region"),), (node("n", "Nation"),))
-    return m.where("r.regionkey < 2 and n.nationkey < 3").select(F.col("r.name").alias("region"), F.col("n.name").alias("nation"))
+    return m.select(F.col("r.name").alias("region"), F.col("n.name").alias("nation"))
 
 
 @query("""SELECT c_custkey AS custkey, n_name AS nation, count(o_orderkey) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
@@ -170,29 +211,28 @@ def disconnected_patterns(spark, sf_dir):
 def several_matches(spark, sf_dir):
     g = shop_graph(spark, sf_dir)
     m = g.match((node("c", "Debtor"), out(None, "IN_NATION"), node("n", "Nation")))
-    m = extend(g, m, node("c", "Debtor"), out(None, "PLACED"), node("o", "Order"))
+    m = extend(g, m, node("c"), out(None, "PLACED"), node("o", "Order"))
     return m.groupBy("c.custkey", F.col("n.name").alias("nation")).agg(results.count_of("o").alias("n"))
 
 
 @query("SELECT c_custkey AS custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' GROUP BY 1")
 def optional_matches(spark, sf_dir):
     g = shop_graph(spark, sf_dir)
-    m = optional_match(g, g.match(node("c", "Customer")), node("c", "Customer"), out(None, "PLACED"), node("o", "Order", orderpriority="1-URGENT"))
+    m = optional_match(g, g.match(node("c", "Customer")), node("c"), out(None, "PLACED"), node("o", "Order", orderpriority="1-URGENT"))
     return m.groupBy("c.custkey").agg(results.count_of("o").alias("n"))
 
 
 @query("SELECT c_custkey AS custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 def pattern_predicates(spark, sf_dir):
     g = shop_graph(spark, sf_dir)
-    m = where_exists(g, g.match(node("c", "Customer")), node("c", "Customer"), out(None, "PLACED"), node(None, "Order", orderstatus="P"))
-    dear = g.match(node("c", "Customer"), out(None, "PLACED"), node("o", "Order")).where("o.totalprice > 300000")
-    return m.join(dear, m["c.id"] == dear["c.id"], "left_anti").select("c.custkey")
+    m = where_exists(g, g.match(node("c", "Customer")), node("c"), out(None, "PLACED"), node(None, "Order", orderstatus="P"))
+    return where_exists(g, m, node("c"), out(None, "PLACED"), node(None, "Order").where("totalprice > 300000"), negate=True).select("c.custkey")
 
 
 @query("SELECT c_custkey AS custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def no_such_pattern(spark, sf_dir):
     g = shop_graph(spark, sf_dir)
-    return where_exists(g, g.match(node("c", "Customer")), node("c", "Customer"), out(None, "PLACED"), node(), negate=True).select("c.custkey")
+    return where_exists(g, g.match(node("c", "Customer")), node("c"), out(None, "PLACED"), node(), negate=True).select("c.custkey")
 
 
 # ------------------------------------------------------------------- filters
@@ -215,10 +255,10 @@ def property_to_property(spark, sf_dir):
     return m.where("c.acctbal > s.acctbal").select("c.custkey", "s.suppkey")
 
 
-@query("""SELECT n_name AS name FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey WHERE c_custkey < 50 OR s_suppkey < 10 GROUP BY 1""")
+@query("""SELECT n_name AS name FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' OR s_acctbal < 0 GROUP BY 1""")
 def condition_across_variables(spark, sf_dir):
     m = shop_graph(spark, sf_dir).match(node("c", "Customer"), out(None, "IN_NATION"), node("n", "Nation"), into(None, "LOCATED_IN"), node("s", "Supplier"))
-    return m.where("c.custkey < 50 or s.suppkey < 10").select("n.name").distinct()
+    return m.where("c.mktsegment = 'BUILDING' or s.acctbal < 0").select("n.name").distinct()
 
 
 @query("""WITH o AS (SELECT o_custkey AS custkey, list(o_orderkey ORDER BY o_orderkey) AS l FROM orders GROUP BY 1)
@@ -287,6 +327,25 @@ def top_k(spark, sf_dir):
     return results.returning(s, "s.name", "s.acctbal", order_by=[F.desc("s.acctbal"), F.col("s.name")], limit=10)
 
 
+@query("SELECT n_name AS name, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY n DESC, name LIMIT 7")
+def order_by_count(spark, sf_dir):
+    m = shop_graph(spark, sf_dir).match(node("n", "Nation"), into("e", "IN_NATION"), node())
+    return results.returning(m, F.col("n.name").alias("name"), aggregates=[results.count_of("e").alias("n")], order_by=[F.desc("n"), F.col("name")], limit=7)
+
+
+@query("SELECT c_mktsegment AS mktsegment, round(stddev_samp(c_acctbal), 3) AS deviation, round(stddev_pop(c_acctbal), 3) AS deviation_p, round(quantile_cont(c_acctbal, 0.25), 3) AS quarter FROM customer GROUP BY 1")
+def deviations(spark, sf_dir):
+    b = F.col("c.acctbal")
+    return shop_graph(spark, sf_dir).match(node("c", "Customer")).groupBy("c.mktsegment").agg(F.round(F.stddev_samp(b), 3).alias("deviation"), F.round(F.stddev_pop(b), 3).alias("deviation_p"), F.round(F.percentile(b, 0.25), 3).alias("quarter"))
+
+
+@query("SELECT p_partkey AS partkey, 9007199254740993 + p_partkey AS big, CAST(trunc(p_retailprice) AS BIGINT) AS whole, regexp_full_match(p_brand || chr(10), 'Brand#1.') AS tail_matches FROM part")
+def exact_integers(spark, sf_dir):
+    p = shop_graph(spark, sf_dir).match(node("p", "Part"))
+    big = (F.lit(9007199254740993) + F.col("p.partkey")).cast("string")
+    return p.select("p.partkey", G.to_integer(big).alias("big"), G.to_integer(F.col("p.retailprice").cast("string")).alias("whole"), G.matches(F.concat("p.brand", F.lit("\n")), "Brand#1.").alias("tail_matches"))
+
+
 @query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 0 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal < 0")
 def union_distinct(spark, sf_dir):
     g = shop_graph(spark, sf_dir)
@@ -308,7 +367,7 @@ def pipeline_of_matches(spark, sf_dir):
     big = results.group_by_nodes(m, ["n"], results.count_of("e").alias("customers"))
     share = g.nodes("Customer").agg((F.count("*") / 30).alias("least"))
     big = big.join(share, F.col("customers") > F.col("least")).drop("least")
-    m = extend(g, big, node("n", "Nation"), into("f", "LOCATED_IN"), node(None, "Supplier"))
+    m = extend(g, big, node("n"), into("f", "LOCATED_IN"), node(None, "Supplier"))
     return m.groupBy(F.col("n.name").alias("nation"), "customers").agg(results.count_of("f").alias("suppliers"))
 
 
@@ -334,7 +393,7 @@ def scalar_functions(spark, sf_dir):
   SELECT conv_id, a AS first_turn, b AS last_turn, depth FROM t WHERE depth >= 1""")
 def paths_of_one_to_three(spark, sf_dir):
     g = shop_graph(spark, sf_dir)
-    m = g.match(node("a", "Turn"), out("p", "NEXT", hops=(1, 3)), node("b", "Turn")).where("a.role = 'system' or a.turn = 0")
+    m = g.match(node("a", "Turn").where("role = 'system' or turn = 0"), out("p", "NEXT", hops=(1, 3)), node("b", "Turn"))
     return m.select("a.conv_id", F.col("a.turn").alias("first_turn"), F.col("b.turn").alias("last_turn"), G.length("p").alias("depth"))
 
 
@@ -351,19 +410,22 @@ def paths_of_exactly_four(spark, sf_dir):
     return shop_graph(spark, sf_dir).match(node("a", "Turn"), out(None, "NEXT", hops=4), node(None, "Turn")).select("a.conv_id", F.col("a.turn").alias("first_turn"))
 
 
-@query(f"{_WALKS} SELECT start, depth, count(*) AS n FROM walks WHERE depth BETWEEN 2 AND 4 GROUP BY 1, 2")
+@query(f"{_WALKS} SELECT start, depth, count(*) AS n FROM walks WHERE depth BETWEEN 2 AND 4 GROUP BY 1, 2", "walks_from_all_parts")
 def walks_of_two_to_four(spark, sf_dir):
     g = shop_graph(spark, sf_dir)
-    found = paths.walk_counts(g.edges("REFERS"), _seeds(g), 2, 4)
-    return found.groupBy(((F.col("start") - 5) / 16).cast("long").alias("start"), "depth").agg(F.sum("n").alias("n"))
+    found = paths.walk_counts(g.edges("REFERS"), _all_parts(g), 2, 4)
+    return found.groupBy(_part_key("start"), "depth").agg(F.sum("n").alias("n"))
 
 
-@query(f"""WITH RECURSIVE {_REFERS}, t AS (SELECT src AS start, dst AS spot, [eid] AS used FROM refers WHERE src % 100 < 3 AND kind = 1
+@query(
+    f"""WITH RECURSIVE {_REFERS}, t AS (SELECT src AS start, dst AS spot, [eid] AS used FROM refers WHERE kind = 1
   UNION ALL SELECT start, dst, list_append(used, eid) FROM t JOIN refers ON src = spot WHERE kind = 1 AND NOT list_contains(used, eid) AND len(used) < 12)
-  SELECT start, CAST(len(used) AS INTEGER) AS depth, spot AS "end" FROM t""")
+  SELECT start, CAST(len(used) AS INTEGER) AS depth, spot AS "end" FROM t JOIN part ON p_partkey = spot""",
+    "trails_from_all_parts",
+)
 def trails_of_one_kind(spark, sf_dir):
     """A path over edges with a property: no edge comes twice."""
-    m = shop_graph(spark, sf_dir).match(node("a", "Part"), out("p", "REFERS", hops=(1, 12), kind=1), node("b", "Part")).where("a.partkey % 100 < 3")
+    m = shop_graph(spark, sf_dir).match(node("a", "Part"), out("p", "REFERS", hops=(1, 12), kind=1), node("b", "Part"))
     return m.select(F.col("a.partkey").alias("start"), "p.depth", F.col("b.partkey").alias("end"))
 
 
@@ -375,21 +437,25 @@ def path_behind_an_edge(spark, sf_dir):
     return m.where("q.size < 10").groupBy("p.partkey").agg(F.count("*").alias("n"))
 
 
-@query(f"""{_WALKS}, best AS (SELECT start, "end", min(depth) AS depth FROM walks WHERE start <> "end" GROUP BY 1, 2) SELECT start, "end", b.depth AS depth, count(*) AS n_paths
-  FROM best b JOIN walks w USING (start, "end") WHERE w.depth = b.depth GROUP BY 1, 2, 3""")
+@query(
+    f"""{_WALKS}, best AS (SELECT start, "end", min(depth) AS depth FROM walks WHERE start <> "end" GROUP BY 1, 2) SELECT start, "end", b.depth AS depth, count(*) AS n_paths
+  FROM best b JOIN walks w USING (start, "end") WHERE w.depth = b.depth GROUP BY 1, 2, 3""",
+    "shortest_paths_from_all_parts",
+)
 def shortest_paths(spark, sf_dir):
     g = shop_graph(spark, sf_dir)
-    found = paths.shortest_paths(g.edges("REFERS"), _seeds(g), high=5)
-    key = lambda c: ((F.col(c) - 5) / 16).cast("long").alias(c)
-    return found.select(key("start"), key("end"), "depth", "n_paths")
+    return paths.shortest_paths(g.edges("REFERS"), _all_parts(g), high=5).select(_part_key("start"), _part_key("end"), "depth", "n_paths")
 
 
-@query(f"""{_WALKS}, best AS (SELECT start, "end", min(depth) AS depth FROM walks JOIN part ON p_partkey = "end" WHERE start <> "end" AND p_size < 5 GROUP BY 1, 2)
-  SELECT depth, count(*) AS pairs, sum(n) AS paths_found FROM (SELECT start, "end", b.depth AS depth, count(*) AS n FROM best b JOIN walks w USING (start, "end") WHERE w.depth = b.depth GROUP BY 1, 2, 3) GROUP BY 1""")
+@query(
+    f"""{_WALKS}, best AS (SELECT start, "end", min(depth) AS depth FROM walks JOIN part ON p_partkey = "end" WHERE start <> "end" AND p_size < 5 GROUP BY 1, 2)
+  SELECT depth, count(*) AS pairs, CAST(sum(n) AS BIGINT) AS paths_found FROM (SELECT start, "end", b.depth AS depth, count(*) AS n FROM best b JOIN walks w USING (start, "end") WHERE w.depth = b.depth GROUP BY 1, 2, 3) GROUP BY 1""",
+    "all_shortest_paths_from_all_parts",
+)
 def all_shortest_paths(spark, sf_dir):
     g = shop_graph(spark, sf_dir)
-    found = paths.all_shortest_paths(g.edges("REFERS"), _seeds(g), g.nodes("Part").where("size < 5"), high=5)
-    return found.groupBy("depth").agg(F.countDistinct("start", "end").alias("pairs"), F.count("*").cast("decimal(38,0)").alias("paths_found"))
+    found = paths.all_shortest_paths(g.edges("REFERS"), _all_parts(g), g.nodes("Part").where("size < 5"), high=5)
+    return found.groupBy("depth").agg(F.countDistinct("start", "end").alias("pairs"), F.count("*").alias("paths_found"))
 
 
 @query(f"""WITH RECURSIVE {_REFERS}, t AS (SELECT src AS idl, dst AS idr, 1 AS depth FROM refers UNION SELECT idl, dst, depth + 1 FROM t JOIN refers ON src = idr WHERE depth < 3)
@@ -398,50 +464,108 @@ def closure_to_three(spark, sf_dir):
     return paths.closure(shop_graph(spark, sf_dir).edges("REFERS"), 3).groupBy("depth").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH RECURSIVE {_REFERS}, t AS (SELECT p_partkey AS spot FROM part WHERE p_partkey % 100 < 3 UNION SELECT dst FROM t JOIN refers ON src = spot)
-  SELECT dst AS partkey, count(*) AS n FROM t JOIN refers ON src = spot GROUP BY 1""")
+@query(
+    f"""WITH RECURSIVE {_REFERS}, t AS (SELECT p_partkey AS spot FROM part UNION SELECT dst FROM t JOIN refers ON src = spot)
+  SELECT dst AS partkey, count(*) AS n FROM t JOIN refers ON src = spot GROUP BY 1""",
+    "iterated_from_all_parts",
+)
 def iterated(spark, sf_dir):
-    """ITERATE: from the seeds along REFERS until nothing new comes, collecting each step."""
+    """ITERATE: from every part along REFERS until nothing new comes, collecting each step."""
     g = shop_graph(spark, sf_dir)
     edges = g.edges("REFERS").select("src", "dst")
-    found = paths.iterate(_seeds(g), lambda front: front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")), ["id"])
-    return found.groupBy(((F.col("id") - 5) / 16).cast("long").alias("partkey")).agg(F.count("*").alias("n"))
+    found = paths.iterate(_all_parts(g), lambda front: front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")), ["id"])
+    return found.groupBy(_part_key("id").alias("partkey")).agg(F.count("*").alias("n"))
 
 
-# ------------------------------------------- the searches above, from every part
-# Without SQL: enumerating all walks there is too slow; tested against brute force.
-@query(None)
-def walks_from_all_parts(spark, sf_dir):
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn AS spot FROM conversations WHERE turn = 0
+  UNION SELECT c.conv_id, c.turn FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.spot + 1)
+  SELECT conv_id, count(*) - 1 AS steps FROM t GROUP BY 1""")
+def iterated_until_nothing_new(spark, sf_dir):
+    """ITERATE from the first turns, over as many rounds as the longest conversation has."""
     g = shop_graph(spark, sf_dir)
-    found = paths.walk_counts(g.edges("REFERS"), _all_parts(g), 2, 4)
-    return found.groupBy(_part_key("start"), "depth").agg(F.sum("n").alias("n"))
+    edges, turns = g.edges("NEXT").select("src", "dst"), g.nodes("Turn").select("id", "conv_id", "turn")
+    first = turns.where("turn = 0")
+    met = paths.iterate(first, lambda front: front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")), ["id"])
+    steps = met.join(turns, "id").groupBy("conv_id").agg(F.count("*").alias("steps"))
+    return first.select("conv_id").join(steps, "conv_id", "left").select("conv_id", F.coalesce("steps", F.lit(0)).alias("steps"))
 
 
-@query(None)
-def trails_from_all_parts(spark, sf_dir):
-    m = shop_graph(spark, sf_dir).match(node("a", "Part"), out("p", "REFERS", hops=(1, 12), kind=1), node("b", "Part"))
-    return m.select(F.col("a.partkey").alias("start"), "p.depth", F.col("b.partkey").alias("end"))
+# --------------------------------------------- paths in patterns, and their parts
+_DISTANCES = f"""{_WALKS}, best AS (SELECT start, "end", min(depth) AS depth FROM walks WHERE start <> "end" AND depth <= 4 GROUP BY 1, 2)"""
 
 
-@query(None)
-def shortest_paths_from_all_parts(spark, sf_dir):
-    g = shop_graph(spark, sf_dir)
-    return paths.shortest_paths(g.edges("REFERS"), _all_parts(g), high=5).select(_part_key("start"), _part_key("end"), "depth", "n_paths")
+@query(f"""{_DISTANCES} SELECT a.p_partkey AS f, b.p_partkey AS t, depth FROM best JOIN part a ON a.p_partkey = start JOIN part b ON b.p_partkey = "end"
+  WHERE a.p_size = 1 AND b.p_size < 5 ORDER BY depth DESC, f, t LIMIT 50""")
+def shortest_with_where_and_limit(spark, sf_dir):
+    """MATCH p = shortestPath((f:Part {size: 1})-[:REFERS*1..4]->(t:Part)) WHERE t.size < 5 RETURN ... ORDER BY ... LIMIT 50."""
+    m = shop_graph(spark, sf_dir).match(node("f", "Part", size=1), shortest("p", "REFERS", hops=(1, 4)), node("t", "Part").where("size < 5"))
+    return results.returning(m, F.col("f.partkey").alias("f"), F.col("t.partkey").alias("t"), G.length("p").alias("depth"), order_by=[F.desc("p.depth"), F.col("f.partkey"), F.col("t.partkey")], limit=50)
 
 
-@query(None)
-def all_shortest_paths_from_all_parts(spark, sf_dir):
-    g = shop_graph(spark, sf_dir)
-    found = paths.all_shortest_paths(g.edges("REFERS"), _all_parts(g), g.nodes("Part").where("size < 5"), high=5)
-    return found.groupBy("depth").agg(F.countDistinct("start", "end").alias("pairs"), F.count("*").alias("paths_found"))
+@query(f"""{_DISTANCES} SELECT a.p_brand AS brand, b.depth AS depth, count(*) AS n FROM best b JOIN walks w ON w.start = b.start AND w."end" = b."end" AND w.depth = b.depth
+  JOIN part a ON a.p_partkey = b.start JOIN part c ON c.p_partkey = b."end" WHERE a.p_size = 1 AND c.p_brand = a.p_brand GROUP BY 1, 2""")
+def all_shortest_in_pattern(spark, sf_dir):
+    m = shop_graph(spark, sf_dir).match(node("f", "Part", size=1), shortest("p", "REFERS", hops=(1, 4), every=True), node("t", "Part"))
+    return m.where("f.brand = t.brand").groupBy("f.brand", "p.depth").agg(F.count("*").alias("n"))
 
 
-@query(None)
-def iterated_from_all_parts(spark, sf_dir):
+@query("""SELECT a.conv_id, concat_ws('>', a.turn, b.turn, c.turn) AS turns, 2 AS n_edges, 'NEXT,NEXT' AS types FROM conversations a
+  JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = a.turn + 2""")
+def parts_of_a_path(spark, sf_dir):
+    """nodes(p) and relationships(p) of a path of several hops."""
+    m = shop_graph(spark, sf_dir).match(node("a", "Turn"), out("p", "NEXT", hops=2), node("b", "Turn"))
+    turns = F.transform(G.nodes("p"), lambda i: (F.shiftright(i, 4) % (1 << 20)).cast("string"))
+    return m.select("a.conv_id", F.array_join(turns, ">").alias("turns"), F.size(G.relationships("p")).alias("n_edges"), F.array_join(F.transform(G.relationships("p"), lambda r: r["type"]), ",").alias("types"))
+
+
+@query("""SELECT c_custkey * 16 + 3 AS first_node, r_regionkey * 16 + 1 AS last_node, 'IN_NATION,IN_REGION' AS types, 2 AS depth
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal < 0""")
+def named_path(spark, sf_dir):
+    """p = (c)-->(n)-->(r) over fixed hops."""
+    m = shop_graph(spark, sf_dir).match(node("c", "Debtor"), out("e", "IN_NATION"), node("n"), out("f", "IN_REGION"), node("r"))
+    p = m.select(G.path_of("c", "e", "n", "f", "r").alias("p"))
+    return p.select(G.head(G.nodes("p")).alias("first_node"), G.last(G.nodes("p")).alias("last_node"), F.array_join(F.transform(G.relationships("p"), lambda r: r["type"]), ",").alias("types"), G.length("p").alias("depth"))
+
+
+@query("""SELECT b.role, count(*) FILTER (WHERE a.turn = b.turn + 1 OR a.turn = b.turn + 2) AS n_in, count(*) FILTER (WHERE a.turn <> b.turn) AS n_both
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND abs(a.turn - b.turn) <= 2 GROUP BY 1""")
+def paths_in_and_both(spark, sf_dir):
     g = shop_graph(spark, sf_dir)
-    edges = g.edges("REFERS").select("src", "dst")
-    found = paths.iterate(_all_parts(g), lambda front: front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")), ["id"])
-    return found.groupBy(_part_key("id").alias("partkey")).agg(F.count("*").alias("n"))
+    back = g.match(node("a", "Turn"), into(None, "NEXT", hops=(1, 2)), node("b", "Turn")).select("b.role", F.lit(1).alias("n_in"), F.lit(0).alias("n_both"))
+    both = g.match(node("a", "Turn"), undirected(None, "NEXT", hops=(1, 2)), node("b", "Turn")).select("b.role", F.lit(0).alias("n_in"), F.lit(1).alias("n_both"))
+    return back.union(both).groupBy("role").agg(F.sum("n_in").alias("n_in"), F.sum("n_both").alias("n_both"))
+
+
+# ------------------------------------------------------- edges told apart by type
+@query("""SELECT r_name AS region, c_mktsegment AS mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2""")
+def untyped_two_hops(spark, sf_dir):
+    """(c:Customer)-->(n:Nation)-->(r:Region): types may number their edges alike."""
+    m = shop_graph(spark, sf_dir).match(node("c", "Customer"), out(), node("n", "Nation"), out(), node("r", "Region"))
+    return m.groupBy(F.col("r.name").alias("region"), "c.mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("""WITH d AS (SELECT * FROM customer WHERE c_acctbal < 0) SELECT label, depth, count(*) AS n FROM (
+  SELECT 'Nation' AS label, 1 AS depth FROM d JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'Order', 1 FROM d JOIN orders ON o_custkey = c_custkey
+  UNION ALL SELECT 'Region', 2 FROM d JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'Part', 2 FROM d JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+  UNION ALL SELECT 'Supplier', 2 FROM d JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey) GROUP BY 1, 2""")
+def untyped_trails(spark, sf_dir):
+    """(d:Debtor)-[*1..2]->(n), over edges of every type."""
+    m = shop_graph(spark, sf_dir).match(node("d", "Debtor"), out("p", hops=(1, 2)), node("n"))
+    return m.groupBy(F.array_join("n.labels", ",").alias("label"), "p.depth").agg(F.count("*").alias("n"))
+
+
+@query("""WITH k AS (SELECT n_nationkey, n_regionkey, count(*) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
+  SELECT n_regionkey AS regionkey, CAST(sum(k) AS BIGINT) AS edges, CAST(sum(k * (k - 1)) AS BIGINT) AS pairs FROM k GROUP BY 1""")
+def parallel_edges(spark, sf_dir):
+    """Equal edges without ids, one for each customer, stay several: (r)<--(n)-->(r)."""
+    customer, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    sold = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(ident("Nation", "n_nationkey").alias("src"), ident("Region", "n_regionkey").alias("dst"))
+    g = shop_graph(spark, sf_dir)
+    g = PropertyGraph.of(spark, g.node_frames, {"SOLD": sold})
+    edges = g.match(node("r", "Region"), into("e", "SOLD"), node()).groupBy("r.regionkey").agg(results.count_of("e").alias("edges"))
+    pairs = g.match(node("r", "Region"), into(None, "SOLD"), node("n", "Nation"), out(None, "SOLD"), node("r")).groupBy("r.regionkey").agg(F.count("*").alias("pairs"))
+    return edges.join(pairs, "regionkey")
 
 
 @query("SELECT r_regionkey * 16 + 1 AS id, array_to_string(list(n_nationkey * 16 + 2 ORDER BY n_nationkey), ',') AS neighbours FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
@@ -493,7 +617,135 @@ def merged(spark, sf_dir):
     return g.nodes("Region").select("name", "state")
 
 
+@query("SELECT r_name AS region, count(n_nationkey) AS nations, count(n_nationkey) FILTER (WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -900)) AS edges_left FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+def deleted_matched(spark, sf_dir):
+    """MATCH (c:Debtor)-->(n)-[e]->(r) WHERE c.acctbal < -900 DELETE e."""
+    g = shop_graph(spark, sf_dir)
+    m = g.match(node(None, "Debtor").where("acctbal < -900"), out(None, "IN_NATION"), node("n", "Nation"), out("e", "IN_REGION"), node())
+    less = updates.delete_matched(g, m, "e")
+    count = lambda g, to: g.match(node("r", "Region"), into("e", "IN_REGION"), node()).groupBy(F.col("r.name").alias("region")).agg(results.count_of("e").alias(to))
+    return count(g, "nations").join(count(less, "edges_left"), "region", "left").fillna(0)
+
+
+@query("SELECT n_name AS name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0 GROUP BY 1")
+def created_for_each_row(spark, sf_dir):
+    """MATCH (c:Debtor)-->(n) CREATE (n)<-[:SENT_TO {kind: 'dunning'}]-(:Letter {to: c.name})."""
+    g = shop_graph(spark, sf_dir)
+    m = g.match(node("c", "Debtor"), out(None, "IN_NATION"), node("n", "Nation"))
+    g = updates.create_matched(g, m, node("n"), into("s", "SENT_TO", kind="dunning"), node("l", "Letter", to=F.col("c.name")))
+    m = g.match(node("l", "Letter").where("to like 'Customer%'"), out("s", "SENT_TO", kind="dunning"), node("n", "Nation"))
+    return m.groupBy("n.name").agg(F.countDistinct("l.id").alias("n"))
+
+
+@query("""WITH late AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P'), dear AS (SELECT o_custkey AS k, max(o_totalprice) AS m FROM orders GROUP BY 1)
+  SELECT count(m) AS with_dearest, round(sum(m), 2) AS total, (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS edges_marked FROM customer LEFT JOIN dear ON k = c_custkey""")
+def set_for_each_row(spark, sf_dir):
+    """SET of a property from the rows of a match, on nodes and on relationships."""
+    g = shop_graph(spark, sf_dir)
+    g = updates.set_matched(g, g.match(node("c", "Customer", fetch=False), out(None, "PLACED"), node("o", "Order")), "c", "dearest", F.col("o.totalprice"))
+    g = updates.set_matched(g, g.match(node(None, "Customer"), out("e", "PLACED"), node(None, "Order", orderstatus="P")), "e", "late", True)
+    nodes = g.nodes("Customer").agg(F.count("dearest").alias("with_dearest"), F.round(F.sum("dearest"), 2).alias("total"))
+    return nodes.crossJoin(g.edges("PLACED").agg(F.count("late").alias("edges_marked")))  # one row each
+
+
+@query("""WITH pairs AS (SELECT DISTINCT n_regionkey AS r, s_nationkey AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+  SELECT state, count(*) AS n FROM (SELECT 'old' AS state FROM nation WHERE n_nationkey IN (SELECT n FROM pairs) UNION ALL SELECT 'left' FROM nation WHERE n_nationkey NOT IN (SELECT n FROM pairs)
+  UNION ALL SELECT 'new' FROM pairs) GROUP BY 1""")
+def merged_relationships(spark, sf_dir):
+    """MERGE of an edge that each pair has, and of one that none has."""
+    g = shop_graph(spark, sf_dir)
+    m = g.match(node(None, "Supplier"), out(None, "LOCATED_IN"), node("n", "Nation"), out(None, "IN_REGION"), node("r", "Region"))
+    g = updates.merge_edges(g, m, "n", out(None, "IN_REGION"), "r", on_create={"state": "wrong"}, on_match={"state": "old"})
+    g = updates.merge_edges(g, m, "n", into(None, "SERVES"), "r", on_create={"state": "new"}, on_match={"state": "wrong"})
+    states = g.edges("IN_REGION").select(F.coalesce("state", F.lit("left")).alias("state")).union(g.match(node(None, "Region"), out("e", "SERVES"), node(None, "Nation")).select("e.state"))
+    return states.groupBy("state").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------ sources and sinks
+def _small(spark, sf_dir) -> PropertyGraph:
+    """Regions, nations and customers, by what files can hold."""
+    g = shop_graph(spark, sf_dir)
+    keep = {k: df.withColumn("words", F.split("name", "#")) for k, df in g.node_frames.items() if k & {"Region", "Nation", "Customer"}}
+    return PropertyGraph.of(spark, keep, {t: g.edge_frames[t].withColumn("weight", F.col("eid") % 7) for t in ("IN_REGION", "IN_NATION")})
+
+
+_FILED = """SELECT r_name AS region, c_mktsegment AS mktsegment, count(*) AS n, CAST(sum(c_custkey % 7) AS BIGINT) AS weight, round(sum(c_acctbal), 2) AS total, min(string_split(c_name, '#')[1]) AS first_word
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2"""
+
+
+def _filed(g: PropertyGraph, first_word: Column) -> DataFrame:
+    m = g.match(node("c", "Customer"), out("e", "IN_NATION"), node(None, "Nation"), out(None, "IN_REGION"), node("r", "Region"))
+    return m.groupBy(F.col("r.name").alias("region"), "c.mktsegment").agg(F.count("*").alias("n"), F.sum("e.weight").cast("long").alias("weight"), F.round(F.sum("c.acctbal"), 2).alias("total"), F.min(first_word).alias("first_word"))
+
+
+@query(_FILED)
+def dump_round_trip(spark, sf_dir):
+    """Written as dump text and read back, types inferred from the text."""
+    folder = shared_path(spark, "dump")
+    dump.write_dump(_small(spark, sf_dir), folder)
+    return _filed(dump.read_dump(spark, folder), G.head("c.words"))
+
+
+@query(_FILED)
+def csv_round_trip(spark, sf_dir):
+    folder = shared_path(spark, "csv")
+    files.write_csv_graph(_small(spark, sf_dir), folder)
+    person = "id long, custkey long, name string, nationkey int, acctbal double, mktsegment string, words string"
+    nodes = {
+        "Region": ("nodes/Region", "id long, regionkey int, name string, words string"), "Nation": ("nodes/Nation", "id long, nationkey int, name string, regionkey int, words string"),
+        "Customer": ("nodes/Customer", person), ("Customer", "Debtor"): ("nodes/Customer_Debtor", person),
+    }
+    back = files.read_csv_graph(spark, folder, nodes, {t: (f"edges/{t}", "src long, dst long, eid long, weight long") for t in ("IN_REGION", "IN_NATION")})
+    return _filed(back, G.head(F.from_json("c.words", "array<string>")))
+
+
+@query(_FILED)
+def parquet_round_trip(spark, sf_dir):
+    folder = shared_path(spark, "graph")
+    files.save_graph(_small(spark, sf_dir), folder, buckets=4)
+    return _filed(files.load_graph(spark, folder), G.head("c.words"))
+
+
+@query("SELECT 'name : ' || n_name || chr(10) || 'regionkey : ' || n_regionkey AS value FROM nation UNION ALL SELECT 'NUM RECORDS : ' || count(*) FROM nation")
+def result_files(spark, sf_dir):
+    """A result file's records, read back."""
+    folder = shared_path(spark, "result")
+    files.write_results(shop_graph(spark, sf_dir).match(node("n", "Nation")).select("n.name", "n.regionkey"), folder)
+    return spark.read.text(folder, lineSep="\n\n").select(F.trim(F.regexp_replace("value", r"\s+\z", "")).alias("value")).where("value <> ''")
+
+
+@query("""WITH a AS (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY 1), b AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1)
+  SELECT coalesce(a.k, b.k) AS k, CAST(coalesce(a.n, 0) AS BIGINT) AS n_left, CAST(coalesce(b.n, 0) AS BIGINT) AS n_right FROM a FULL JOIN b ON a.k = b.k WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+def multiset_difference(spark, sf_dir):
+    g = shop_graph(spark, sf_dir)
+    return difference(g.match(node("c", "Debtor")).select(F.col("c.nationkey").alias("k")), g.match(node("s", "Supplier")).select(F.col("s.nationkey").alias("k")))
+
+
 # ---------------------------------------------------------------- generation
+@query("SELECT * FROM (VALUES ('Owner', 100), ('Owner,Programmer', 60), ('Programmer', 440), ('Website', 1400)) t(label, n)")
+def generated_vertices(spark, sf_dir):
+    """The four kinds in their shares (the generator reads no table)."""
+    g = web_graph(spark, 2_000, "sparse")
+    return g.nodes().groupBy(F.array_join("labels", ",").alias("label")).agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT 0 AS loops, 0 AS parallel, 0 AS odd_ends, 5 AS types, true AS both_own_half, true AS enough")
+def generated_edges(spark, sf_dir):
+    """What holds of every generated graph: no loops, no parallel edges, ends by type; about
+    half of the websites that people of both kinds work on are theirs."""
+    e = web_graph(spark, 2_000, "sparse").match(node("a"), out("e"), node("b"))
+    kind = lambda c: F.array_join(f"{c}.labels", ",")
+    rows = e.select(kind("a").alias("a"), kind("b").alias("b"), F.col("e.type").alias("t"), F.col("e.src").alias("src"), F.col("e.dst").alias("dst"))
+    fits = {"LINKED_TO": "a = 'Website' and b = 'Website'", "CODES_FOR": "a like '%Programmer' and b = 'Website'", "OWNS": "a like 'Owner%' and b = 'Website'", "EMPLOYS": "a like 'Owner%' and b like '%Programmer'", "FRIENDS": "a like '%Programmer' and b like '%Programmer' or a like 'Owner%' and b = 'Owner'"}
+    odd = F.when(F.expr(" or ".join(f"(t = '{t}' and ({c}))" for t, c in fits.items())), 0).otherwise(1)
+    both = (F.col("a") == "Owner,Programmer") & (F.col("b") == "Website")
+    share = F.sum(F.when(both & (F.col("t") == "OWNS"), 1).otherwise(0)) / F.sum(F.when(both, 1).otherwise(0))
+    return rows.agg(
+        F.sum(F.when(F.col("src") == F.col("dst"), 1).otherwise(0)).cast("int").alias("loops"), (F.count("*") - F.countDistinct("src", "dst")).cast("int").alias("parallel"), F.sum(odd).cast("int").alias("odd_ends"),
+        F.countDistinct("t").cast("int").alias("types"), share.between(0.4, 0.6).alias("both_own_half"), F.count("*").between(0.8 * 7.61 * 2_000, 7.61 * 2_000).alias("enough"),
+    )
+
+
 @query(None)
 def generated_web_graph(spark, sf_dir):
     """Edges by type and ends of a generated graph (its tests hold its properties)."""

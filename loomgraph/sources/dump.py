@@ -12,11 +12,12 @@ parallel; parsing is by built-in functions.  The input is never changed.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..graph import PropertyGraph
+from ..graph import EDGE_COLUMNS, NODE_COLUMNS, PropertyGraph, numbered
 
 _NODE = r"^\(_(\d+)((?::`[^`]+`)*)\s*(\{.*\})?\s*\)\s*;?\s*$"
 _EDGE = r"^\(_(\d+)\)-\[\w*:`([^`]+)`\s*(\{.*\})?\s*\]->\(_(\d+)\)\s*;?\s*$"
@@ -90,7 +91,8 @@ def read_dump(spark: SparkSession, path: str, fold_case: bool = False, overrides
     if strict and (odd := rest.take(1)):
         raise ValueError(f"not a statement of a dump: {odd[0][0][:200]}")
     nodes = nodes.withColumn("set", F.array_join(F.array_sort("labels"), ":"))
-    edges = edges.withColumn("eid", F.xxhash64("src", "dst", "type", F.to_json("props")))
+    # Maps can't be grouped by: equal statements are counted by the text of their properties.
+    edges = numbered(edges.select("src", "dst", "type", F.to_json("props").alias("text"))).withColumn("props", F.from_json("text", "map<string,string>"))
     kinds, edge_kinds = infer(nodes, "set", overrides), infer(edges, "type", overrides)
     sets = [r["set"] for r in nodes.select("set").distinct().collect()]
     types = [r["type"] for r in edges.select("type").distinct().collect()]
@@ -99,3 +101,21 @@ def read_dump(spark: SparkSession, path: str, fold_case: bool = False, overrides
         {frozenset(s.split(":")) if s else frozenset(): nodes.where(F.col("set") == s).select("id", *_columns(kinds.get(s, []))) for s in sets},
         {t: edges.where(F.col("type") == t).select("eid", "src", "dst", *_columns(edge_kinds.get(t, []))) for t in types},
     )
+
+
+def write_dump(graph: PropertyGraph, folder: str, word: str = "create") -> None:
+    """Writes a graph with ids from 0 on as dump text; null properties are left out."""
+
+    def props(df: DataFrame, names: list[str]) -> Column:
+        value = lambda c: F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+        text = F.concat_ws(", ", *[F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit(f"`{c}`:"), value(F.col(f"`{c}`")))) for c in names])
+        return F.when(text != "", F.concat(F.lit(" {"), text, F.lit("}"))).otherwise("")
+
+    lines = []
+    for labels, df in graph.node_frames.items():
+        tags = "".join(f":`{x}`" for x in sorted(labels))
+        lines.append(df.select(F.concat(F.lit(f"{word} (_"), F.col("id").cast("string"), F.lit(tags), props(df, [c for c in df.columns if c not in NODE_COLUMNS]), F.lit(")")).alias("value")))
+    for kind, df in graph.edge_frames.items():
+        inner = F.concat(F.lit(f")-[:`{kind}`"), props(df, [c for c in df.columns if c not in EDGE_COLUMNS]), F.lit("]->(_"))
+        lines.append(df.select(F.concat(F.lit(f"{word} (_"), F.col("src").cast("string"), inner, F.col("dst").cast("string"), F.lit(")")).alias("value")))
+    reduce(lambda a, b: a.union(b), lines).write.text(folder)

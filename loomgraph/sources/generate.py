@@ -30,7 +30,9 @@ def _word(seed: int, salt: int, size: int, column: Column) -> Column:
 
 def web_graph(spark: SparkSession, vertices: int = 40_000, density: str | float = "dense", seed: int = 7) -> PropertyGraph:
     """Vertices 0 .. n-1 in the four kinds, and about n x density edges without loops and
-    parallel edges.  The kinds of an edge's ends decide its type."""
+    parallel edges.  The kinds of an edge's ends decide its type: websites link to
+    websites, programmers code for and owners own websites, owners employ programmers,
+    and programmers, and owners, are friends of their kind."""
     per = DENSITIES[density] if isinstance(density, str) else density
     cuts = [round(vertices * x) for x in (SHARES["website"], SHARES["website"] + SHARES["programmer"], 1 - SHARES["both"])]
     ids, i = spark.range(vertices), F.col("id")
@@ -53,11 +55,15 @@ def web_graph(spark: SparkSession, vertices: int = 40_000, density: str | float
     kind = lambda c: F.when(F.col(c) < cuts[0], "website").when(F.col(c) < cuts[1], "programmer").when(F.col(c) < cuts[2], "owner").otherwise("both")
     a, b = F.col("a"), F.col("b")
     codes, owns = a.isin("programmer", "both"), a.isin("owner", "both")
-    # Websites only link to websites; edges from a website to a person are turned.
-    turned = drawn.withColumns({"a": kind("src"), "b": kind("dst")}).withColumn("turn", (a == "website") & (b != "website"))
-    ends = turned.select(F.when(F.col("turn"), F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(F.col("turn"), F.col("src")).otherwise(F.col("dst")).alias("dst")).distinct().withColumns({"a": kind("src"), "b": kind("dst")})
-    typed = ends.withColumn("type", F.when((a == "website") & (b == "website"), "LINKED_TO").when((b == "website") & codes, "CODES_FOR").when((b == "website") & owns, "OWNS").when(owns & b.isin("programmer", "both"), "EMPLOYS").otherwise("FRIENDS"))
+    ends = drawn.withColumns({"a": kind("src"), "b": kind("dst")})
+    # Edges that no type fits (from websites to people, from programmers to owners) are turned.
+    turn = ((a == "website") & (b != "website")) | ((a == "programmer") & (b == "owner"))
+    turned = ends.select(F.when(turn, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(turn, F.col("src")).otherwise(F.col("dst")).alias("dst")).distinct().withColumns({"a": kind("src"), "b": kind("dst")})
     draw = lambda size, salt: _uniform(F.lit(size), F.col("src"), F.col("dst"), seed, salt)
+    # People who are both code for one half of their websites and own the other.
+    site = F.when(a == "both", F.when(draw(2, 6) == 0, "CODES_FOR").otherwise("OWNS")).when(codes, "CODES_FOR").otherwise("OWNS")
+    typed = turned.withColumn("type", F.when((a == "website") & (b == "website"), "LINKED_TO").when(b == "website", site).when(owns & b.isin("programmer", "both"), "EMPLOYS").otherwise("FRIENDS"))
+    # The ranges of the edges' properties.
     extra = {
         "LINKED_TO": [draw(100, 1).alias("popularity")], "CODES_FOR": [draw(100, 2).alias("commits")], "OWNS": [((draw(1000, 3) + 1500) * 2000).alias("salary")],
         "EMPLOYS": [((draw(1000, 4) + 1500) * 10).alias("salary"), F.when(draw(2, 5) == 0, "no").otherwise("yes").alias("carShare")], "FRIENDS": [],

@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under ``spark.checkpoint.dir``, removed when the JVM ends.
 
-    Only where that is unset, as in local tests, a temporary folder takes its place."""
+    Only where that is unset in a local session, as in tests, a temporary folder takes its
+    place; a cluster must name a folder that all its machines share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
         root = spark.sparkContext.getCheckpointDir()
     path = f"{root.rstrip('/')}/graph/{name}-{uuid.uuid4().hex}"

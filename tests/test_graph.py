@@ -7,11 +7,11 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph import PropertyGraph, node, out, undirected
+from loomgraph import PropertyGraph, node, out, shortest, undirected
 from loomgraph import functions as G
 from loomgraph.checks import difference, same_rows, time_query, write_report
 from loomgraph.operators import paths, results, updates
-from loomgraph.operators.match import optional_match, where_exists
+from loomgraph.operators.match import extend, optional_match, where_exists
 from loomgraph.pattern import into, rel
 from loomgraph.sources import dump, files
 from loomgraph.sources.generate import web_graph
@@ -222,6 +222,11 @@ def test_generated_graph(spark):
     assert degree[0] > 4 * degree[1]  # chosen by degree
     assert g.match(node("a", "Website"), out("e"), node("b")).where("e.type <> 'LINKED_TO'").count() == 0
     assert g.match(node("a"), out("e", "EMPLOYS"), node("b")).where(~G.has_labels("a", "Owner") | ~G.has_labels("b", "Programmer")).count() == 0
+    # Programmers aren't friends of owners; of people who are both, half own their websites.
+    friends = g.match(node("a"), out("e", "FRIENDS"), node("b"))
+    assert friends.count() > 0 and friends.where(~((G.has_labels("a", "Programmer") & G.has_labels("b", "Programmer")) | (G.has_labels("a", "Owner") & G.has_labels("b", "Owner")))).count() == 0
+    own = bag(g.match(node("a", "Owner", "Programmer"), out("e"), node("b", "Website")).select("e.type"))
+    assert set(own) == {("OWNS",), ("CODES_FOR",)} and 0.4 < own["OWNS",] / sum(own.values()) < 0.6
 
 
 # ----------------------------------------------------------- results and checks
@@ -247,3 +252,113 @@ def test_functions(spark):
         G.to_integer("t"), G.to_integer("w"), G.to_integer(F.lit("-12.7")), G.to_float("w"), G.span(1, 5, 2), G.span(3, 1), G.span(3, 1, -1), G.case(None, (F.col("t") == "1", "a"), otherwise="b"), G.matches("t", "12"), G.size(F.lit(None).cast("array<int>")),
     ).first()
     assert list(got) == [[2, 3], [3, 4], [], 4, None, None, [2, 3, 4], [30, 40], True, 12, None, -12, None, [1, 3, 5], [], [3, 2, 1], "b", False, None]
+
+
+# --------------------------------------------------------------- edge identity
+def test_types_may_number_their_edges_alike(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(4)], "id long")
+    one = lambda a, b: spark.createDataFrame([(1, a, b)], "eid long, src long, dst long")
+    g = PropertyGraph.of(spark, {"N": nodes}, {"E": one(0, 1), "F": one(1, 2), "G": one(2, 3)})
+    assert g.match(node("a"), out(), node("b"), out(), node("c"), out(), node("d")).count() == 1
+    assert g.match(node("a", "N"), out("p", hops=(1, None)), node("b")).count() == 6
+    m = g.match(node("a"), out("e"), node("b"), out("p", hops=(1, 2)), node("c"))
+    assert bag(m.select("a.id", "c.id")) == {(0, 2): 1, (0, 3): 1, (1, 3): 1}
+    p = g.match(node("a"), out("p", hops=3), node("b")).select("p.*").first()
+    assert (p.nodes, [tuple(r) for r in p.rels], p.eids) == ([0, 1, 2, 3], [("E", 1), ("F", 1), ("G", 1)], [1, 1, 1])
+    m = g.match(node("a"), out("e"), node("b"), out("f"), node("c")).select(G.path_of("a", "e", "b", "f", "c").alias("p"))
+    assert m.where(F.element_at(G.nodes("p"), 1) == 0).select("p.end", "p.depth").first() == (2, 2)
+
+
+def test_equal_edges_without_ids_stay_several(spark, tmp_path):
+    nodes = spark.createDataFrame([(i,) for i in range(3)], "id long")
+    edges = spark.createDataFrame([(0, 1, "x"), (0, 1, "x"), (2, 1, "x"), (0, 1, None)], "src long, dst long, name string")
+    g = PropertyGraph.of(spark, {"N": nodes}, {"E": edges})
+    assert g.edges().select("eid").distinct().count() == 4 == g.edges().count()
+    m = g.match(node("a"), out(), node("b"), into(), node("c"))
+    assert bag(m.select("a.id", "c.id")) == {(0, 0): 6, (0, 2): 3, (2, 0): 3}
+    twice = updates.add_edges(updates.add_edges(g, "E", edges), "E", edges)
+    assert twice.edges().select("eid").distinct().count() == 12
+    assert sorted(r.eid for r in twice.edges().collect()) == sorted(r.eid for r in twice.edges().collect())
+    (tmp_path / "d.txt").write_text("create (_0)\ncreate (_1)\n" + "create (_0)-[:`E` {`w`:1}]->(_1)\n" * 2)
+    assert dump.read_dump(spark, str(tmp_path / "d.txt")).edges().select("eid").distinct().count() == 2
+
+
+# ---------------------------------------------------- conditions and bound rows
+def test_conditions_in_patterns(spark):
+    g = graph(spark, [(0, 1), (1, 2), (2, 3)])
+    m = g.match(node("a").where("id = 0"), out("p", hops=(1, 3)).where("kind = 0 or eid = 1"), node("b").where(lambda n: n["id"] > 1))
+    assert bag(m.select("b.id", "p.depth")) == {(2, 2): 1, (3, 3): 1}
+    # A second mention of a variable bound by its id alone, and one with an unknown property.
+    h = PropertyGraph.of(spark, g.node_frames, g.edge_frames, {"E": ("N", "N")})
+    m = h.match((node("a"), out(), node("b", fetch=False)), (node("b", "N", name="n1"),))
+    assert bag(m.select("a.id", "b.id")) == {(0, 1): 1}
+    assert h.match((node("a"), out(), node("b", fetch=False)), (node("b", nothing=1),)).count() == 0
+    assert h.match((node("a"), out(), node("b")), (node("b", nothing=1),)).count() == 0
+    assert h.match((node("a"), out(), node("b")), (node("b", "M"),)).count() == 0
+
+
+def test_a_match_on_rows_starts_from_them(spark):
+    g = graph(spark, [(0, 1), (0, 2), (2, 3)])
+    m = g.match(node("a").where("id = 0"), out("e"), node("b"))
+    more = extend(g, m.withColumn("k", F.lit(7)), node("b"), out("f"), node("c", "N"))
+    assert bag(more.select("a.id", "b.id", "c.id", "k")) == {(0, 2, 3, 7): 1}
+    assert bag(extend(g, m, node("x"), out("e"), node("b")).select("x.id", "b.id")) == {(0, 1): 1, (0, 2): 1}
+    rows = optional_match(g, m, node("b"), out("f"), node("c"))
+    assert bag(rows.select("b.id", "c.id")) == {(1, None): 1, (2, 3): 1}
+    # A null variable matches nothing, and stays null.
+    assert bag(extend(g, rows, node("c"), into(), node("d")).select("c.id", "d.id")) == {(3, 2): 1}
+    again = optional_match(g, rows, node("c"), into("h"), node("d"))
+    assert bag(again.select("b.id", "d.id")) == {(1, None): 1, (2, 2): 1} and again.where("c is null").count() == 1
+    assert bag(where_exists(g, m, node("b", name="n2"), out(), node()).select("b.id")) == {(2,): 1}
+    plan = optional_match(g, m, node("b"), out(), node("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("id") and "Aggregate" in plan  # from distinct bound ids
+    with pytest.raises(ValueError):
+        extend(g, m, node("x"), out(), node("y"))
+
+
+def test_shortest_paths_in_patterns(spark):
+    g = graph(spark, [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (2, 3)])
+    m = g.match(node("a", name="n0"), shortest("p"), node("b").where("id >= 3"))
+    assert {r.id: (r.depth, r.n_paths, r.nodes, [x.eid for x in r.rels]) for r in m.select("b.id", "p.*").collect()} == {3: (2, 3, [0, 1, 3], [0, 2]), 4: (3, 3, [0, 1, 3, 4], [0, 2, 4])}
+    every = g.match(node("a", name="n0"), shortest("p", every=True, hops=(1, 2)), node("b", name="n3"))
+    assert bag(every.select(F.array_join("p.eids", ","))) == {("0,2",): 1, ("1,3",): 1, ("1,5",): 1}
+    m = g.match((node("a", name="n0"), out(), node("b", name="n2")), (node("a"), shortest("p"), node("b")))
+    assert bag(m.select("p.depth")) == {(1,): 1}
+    with pytest.raises(ValueError):
+        shortest(hops=(2, 3))
+
+
+# ------------------------------------------------------ updates by matched rows
+def test_updates_by_matched_rows(spark):
+    g = graph(spark, [(0, 1), (1, 2), (0, 2)])
+    m = g.match(node("a"), out("e"), node("b"))
+    less = updates.delete_matched(g, m.where("e.kind = 0"), "e")
+    assert bag(less.edges().select("src", "dst")) == {(1, 2): 1} and less.nodes().count() == 3
+    less = updates.delete_matched(g, m.where("b.id = 1"), "b")
+    assert bag(less.edges().select("src", "dst")) == {(0, 2): 1} and less.nodes().count() == 2
+    more = updates.create_matched(g, m, node("a"), out("s", "SAID", to=F.col("b.name")), node("w", "Word", text=F.concat("a.name", F.lit("!"))), into(None, "HEARD"), node("b"))
+    said = more.match(node("a"), out("s", "SAID"), node("w", "Word"), into("h", "HEARD"), node("b"))
+    assert bag(said.select("a.id", "b.id", "s.to", "w.text")) == {(0, 1, "n1", "n0!"): 1, (1, 2, "n2", "n1!"): 1, (0, 2, "n2", "n0!"): 1}
+    assert more.nodes("Word").select("id").distinct().count() == 3 and more.nodes("Word").where("id < 3").count() == 0
+    marked = updates.set_matched(updates.set_matched(g, m, "a", "top", F.col("b.id")), m.where("b.id = 2"), "e", "kind", 9)
+    assert bag(marked.nodes().select("id", "top")) == {(0, 2): 1, (1, 2): 1, (2, None): 1}
+    assert bag(marked.edges().select("eid", "kind")) == {(0, 0): 1, (1, 9): 1, (2, 9): 1}
+    pairs = g.match((node("a").where("id < 2"),), (node("b").where("id > 0"),)).where("a.id <> b.id")
+    merged = updates.merge_edges(g, pairs, "a", out(None, "E"), "b", on_create={"kind": 5}, on_match={"kind": 6})
+    assert bag(merged.edges().select("src", "dst", "kind")) == {(0, 1, 6): 1, (0, 2, 6): 1, (1, 2, 6): 1}
+    merged = updates.merge_edges(merged, pairs, "a", into(None, "E"), "b", on_create={"kind": 5})
+    assert bag(merged.edges().where("kind = 5").select("src", "dst")) == {(1, 0): 1, (2, 0): 1, (2, 1): 1}
+
+
+def test_exact_integers_and_whole_matches(spark):
+    got = spark.range(1).select(*[G.to_integer(F.lit(t)) for t in ("9007199254740993", "-9223372036854775808", "9223372036854775808", " 7 ", "1e3", "-0.9", "", "1e400")], G.matches(F.lit("ab\n"), "ab"), G.matches(F.lit("ab"), "a|ab")).first()
+    assert list(got) == [9007199254740993, -(2**63), None, 7, 1000, 0, None, None, False, True]
+
+
+def test_dump_is_written_as_it_is_read(spark, tmp_path):
+    nodes = spark.createDataFrame([(0, 'a "q" \\ b', ["x", "y"], 1.5), (1, None, None, None)], "id long, name string, tags array<string>, w double")
+    g = PropertyGraph.of(spark, {("A", "B"): nodes}, {"E": spark.createDataFrame([(0, 1, True), (0, 1, True), (1, 0, None)], "src long, dst long, ok boolean")})
+    dump.write_dump(g, f"{tmp_path}/dump")
+    back = dump.read_dump(spark, f"{tmp_path}/dump")
+    assert bag(back.nodes("A", "B").select("id", "name", F.array_join("tags", ","), "w")) == {(0, 'a "q" \\ b', "x,y", 1.5): 1, (1, None, None, None): 1}
+    assert bag(back.edges("E").select("src", "dst", "ok")) == {(0, 1, True): 2, (1, 0, None): 1}
