@@ -7,6 +7,7 @@ of bytes other than space and ``\\x09-\\x0d``.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task.
 CHUNK_BYTES = 1 << 20
+#: Bytes of a word from which on it is hashed by itself.
+LONG_WORD = 512
 
 _U = np.uint64
 #: Odd base of the polynomial word hash, and its inverse modulo 2**64.
@@ -41,8 +44,9 @@ def bound_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``; where that is unset (local
-    tests) a temporary folder is made once and set on the context.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset in a local
+    session (tests) a temporary folder is made once and set on the context.  On a cluster
+    that is an error: no other machine could read such a folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -50,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -87,6 +93,19 @@ def fresh_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def with_text(docs: DataFrame, text_col: str, new: list[str]) -> DataFrame:
+    """``docs`` without columns of the names ``new``, and its text as the last column,
+    under a name that no other column has."""
+    gone = {c.lower() for c in new}
+    keep = [F.col(quoted(c)) for c in docs.columns if c.lower() not in gone]
+    return docs.select(*keep, F.col(quoted(text_col)).cast("string").alias(fresh_name("text", docs.columns)))
+
+
+def quoted(name: str) -> str:
+    """A column's name between backticks, for names with dots and backticks too."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Mark ``df`` for broadcast only when its counted rows are within ``limit``."""
     return F.broadcast(df) if rows <= limit else df
@@ -196,13 +215,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words data[start:end]: a polynomial over random byte
-    codes, divided by the power at its start, then finalised."""
+    codes, divided by the power at its start, then finalised.  Words of ``LONG_WORD``
+    bytes on, where polynomials modulo 2**64 have collisions whatever the codes (Thue-Morse
+    words), are hashed one by one."""
     n = len(data)
     up = _power_table("up", n + 1)
     total = np.zeros(n + 1, _U)
     np.cumsum(_BYTE_CODE[data] * up[:n], out=total[1:])
     raw = (total[ends] - total[starts]) * _power_table("down", n + 1)[starts]
-    return mix64(raw + (ends - starts).astype(_U))
+    out = mix64(raw + (ends - starts).astype(_U))
+    for i in np.flatnonzero(ends - starts >= LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:

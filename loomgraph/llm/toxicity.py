@@ -8,9 +8,9 @@ are found; fuzzy matching of a term is kept only where the clean part of the
 fitted sample shows no clash with ordinary words.  Where a stem's fuzzy matching
 clashes, the words that it stands for are taken beside it if theirs doesn't.
 
-Each hit is weighed by its context window: hits between quotation marks, or near
-words of reporting, count as quotation and are weighed apart from plain abuse,
-those of words and those of stems alike.
+Each hit is weighed by its context window: hits between an opening quotation mark and
+its closing one, or near words of reporting, count as quotation and are weighed apart
+from plain abuse, those of words and those of stems alike.  Apostrophes are no marks.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from .common import broadcast_if_small, training_rows
+from .common import broadcast_if_small, materialise, training_rows, with_text
 
 #: Largest number of labelled documents that the lexicon and weights are fitted on.
 FIT_ROWS = 12_000
@@ -39,6 +40,8 @@ FUZZY_WORD, FUZZY_STEM = 5, 4
 WINDOW = 6
 #: A stem counts as evidence in documents where it makes up this share of the words.
 DENSE = 0.006
+#: Words that a shorter text is taken to have where shares of stems are reckoned.
+LEAST_WORDS = 50
 #: Words remembered by a task before its look-up memory starts anew.
 MEMORY = 200_000
 #: Moves of the automaton remembered by a task.
@@ -46,7 +49,7 @@ MOVES = 100_000
 
 #: Words of reporting in the four languages, and quotation marks.
 REPORTING = frozenset("said says wrote quote quoted called term word dit écrit mot sagte schrieb wort dijo escribió palabra".split())
-QUOTES = frozenset("\"'«»„“”‘’‹›`")
+CLOSING = {'"': '"', "'": "'’", "`": "`'", "“": "”", "„": "“”", "”": "”", "‘": "’", "‚": "‘’", "«": "»", "»": "«", "‹": "›", "›": "‹"}
 
 _WORD = re.compile(r"[^\W\d_]+")
 _NONE: set[int] = set()
@@ -164,20 +167,50 @@ class ToxicModel:
     base: float | None = None
 
 
-def hit_features(text: str, words: list[str], memory: _Memory) -> tuple[float, float, float, float, float, list[tuple[int, int]]]:
-    """Damped counts of abuse and quotation by whole words, damped shares of words, of
-    abuse by stems and of quotation by stems, and the hits.  Stems also occur in ordinary
-    words, so only their share of the text counts."""
+def _is_mark(text: str, at: int) -> bool:
+    """A quotation mark, and no apostrophe within a word."""
+    return text[at] in CLOSING and not (0 < at < len(text) - 1 and text[at - 1].isalnum() and text[at + 1].isalnum())
+
+
+def _opens(text: str, at: int) -> bool:
+    """Whether the mark begins a quotation, by what stands around it."""
+    before, after = text[at - 1 : at], text[at + 1 : at + 2]
+    if text[at] in "«‹":
+        return not before.isalnum()
+    return after != "" and not after.isspace() and (before == "" or not (before.isalnum() or before in ".,;:!?…)]"))
+
+
+def _closes(text: str, at: int) -> bool:
+    before, after = text[at - 1 : at], text[at + 1 : at + 2]
+    return not after.isalnum() and (text[at] in "»›" or not before.isspace())
+
+
+def between_marks(text: str, start: int, end: int, low: int, high: int) -> bool:
+    """Whether text[start:end] stands between an opening mark from ``low`` on and its
+    closing one before ``high``, with no other mark between."""
+    k = next((i for i in range(start - 1, low - 1, -1) if _is_mark(text, i)), None)
+    if k is None or not _opens(text, k):
+        return False
+    m = next((i for i in range(end, high) if _is_mark(text, i)), None)
+    return m is not None and text[m] in CLOSING[text[k]] and _closes(text, m)
+
+
+def hit_features(text: str, memory: _Memory) -> tuple[float, float, float, float, float, list[tuple[int, int]]]:
+    """Damped counts of abuse and quotation by whole words, their damped share, abuse and
+    quotation by stems, and the hits.  Stems also occur in ordinary words, so only many of
+    them, and a high share of the text, count together."""
+    # All places are those of the lower-cased text: lower-casing may change lengths.
+    text = text.lower()
+    words = _WORD.findall(text)
     # Most texts have no hit: distinct words first, places only if needed.
     hits = {w: m for w in set(words) if (m := memory[w]) is not None}
     if not hits:
         return 0.0, 0.0, 0.0, 0.0, 0.0, []
     abuse = quoted = stems = quoted_stems = 0.0
     terms = memory.automaton.terms
-    spans = list(_WORD.finditer(text.lower()))
-    lowered = [m.group() for m in spans]
+    spans = [m.span() for m in _WORD.finditer(text)]
     found = []
-    for i, w in enumerate(lowered):
+    for i, w in enumerate(words):
         m = hits.get(w)
         if m is None:
             continue
@@ -185,10 +218,9 @@ def hit_features(text: str, words: list[str], memory: _Memory) -> tuple[float, f
         worth = 1.0 if m[1] == 0 else 0.8
         stem = terms[m[0]].endswith("*")
         lo, hi = max(0, i - WINDOW), min(len(spans), i + WINDOW + 1)
-        left = text[spans[lo].start() : spans[i].start()]
-        right = text[spans[i].end() : spans[hi - 1].end()]
-        marks = any(c in QUOTES for c in left) and any(c in QUOTES for c in right)
-        if marks or any(x in REPORTING for x in lowered[lo:i]):
+        # A mark just before the first word and just after the last one count as well.
+        low, high = spans[lo - 1][1] if lo else 0, spans[hi][0] if hi < len(spans) else len(text)
+        if any(x in REPORTING for x in words[lo:i]) or between_marks(text, *spans[i], low, high):
             if stem:
                 quoted_stems += worth
             else:
@@ -197,11 +229,12 @@ def hit_features(text: str, words: list[str], memory: _Memory) -> tuple[float, f
             stems += worth
         else:
             abuse += worth
-    n = max(1, len(words))
-    return np.log1p(abuse), np.log1p(quoted), np.log1p(50 * (abuse + quoted) / n), np.log1p(200 * stems / n), np.log1p(200 * quoted_stems / n), found
+    n = len(words)
+    dense = lambda k: np.log1p(k) * np.log1p(200 * k / max(n, LEAST_WORDS))
+    return np.log1p(abuse), np.log1p(quoted), np.log1p(50 * (abuse + quoted) / n), dense(stems), dense(quoted_stems), found
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     z = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(z.shape[1])
     for _ in range(60):
@@ -278,11 +311,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, split: int = 1, folds: in
     the held-out fold.  Only their ids and texts are read besides the labels.
 
     Without toxic or without clean rows nothing is learned: every document then
-    scores 1 if all labels seen are toxic, else 0.
+    scores 1 if all labels seen are toxic, else 0.  Of repeated labels of an id the
+    largest counts; null texts are empty; rows that share an id are all fitted on.
     """
     sample = training_rows(labels, "toxic", split, folds, bound)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.join(broadcast_if_small(sample, bound, FIT_ROWS), "doc_id").select("label", "text")
+    # Read four times below, so written once: the sampled texts alone.
+    rows = materialise(rows.join(broadcast_if_small(sample, bound, FIT_ROWS), "doc_id").select("label", "text"), "toxic-sample")
     size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
@@ -344,7 +379,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, split: int = 1, folds: in
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Memory(LexiconAutomaton(terms, fuzzy))
         for batch in batches:
-            got = [(label, *hit_features(text, words_of(text), memory)[:5]) for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            got = [(label, *hit_features(text, memory)[:5]) for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([float(g[i]) for g in got]) for i in range(6)], names=["label", "a", "q", "d", "s", "r"])
 
     # At most `bound` rows of six numbers come back, in any order; sorted, sums are alike on every run.
@@ -356,30 +391,32 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, split: int = 1, folds: in
 def score_documents(docs: DataFrame, model: ToxicModel, text_col: str = "text", to: str = "score", spans: bool = False) -> DataFrame:
     """``docs`` with a toxicity score in [0, 1] as column ``to``.
 
-    With ``spans`` also the matched terms (term, edits), in order of place.  Null
-    and empty texts have no hits and get the score of a text without hits.
+    With ``spans`` also the matched terms (term, edits), in order of place, as ``hits``.
+    Null and empty texts have no hits and get the score of a text without hits; every row
+    is scored by its text alone, repeated ones alike.  Columns of ``docs`` with the names
+    of the new ones are replaced.
     """
-    schema = docs.schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    k = schema.names.index(text_col)
+    new = [StructField(to, DoubleType())]
+    if spans:
+        new.append(StructField("hits", ArrayType(StructType([StructField("term", StringType()), StructField("edits", IntegerType())]))))
+    docs = with_text(docs, text_col, [f.name for f in new])
     terms, fuzzy, weights, base = model.terms, model.fuzzy, model.weights, model.base
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _Memory(LexiconAutomaton(terms, fuzzy))
         for batch in batches:
             scores, hits = [], []
-            for text in batch.column(k).to_pylist():
-                text = text or ""
-                *x, found = hit_features(text, words_of(text), memory) if terms else (0.0, 0.0, 0.0, 0.0, 0.0, [])
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                *x, found = hit_features(text or "", memory) if terms else (0.0, 0.0, 0.0, 0.0, 0.0, [])
                 z = weights[0] + weights[1:] @ np.array(x)
                 scores.append(base if base is not None else float(1 / (1 + np.exp(-np.clip(z, -40, 40)))))
                 if spans:
                     hits.append([{"term": terms[t], "edits": e} for t, e in found])
                 if len(memory) > MEMORY:
                     memory.clear()
-            out = [*batch.columns, pa.array(scores, pa.float64())]
+            out = [*batch.columns[:-1], pa.array(scores, pa.float64())]
             if spans:
                 out.append(pa.array(hits, pa.list_(pa.struct([("term", pa.string()), ("edits", pa.int32())]))))
-            yield pa.RecordBatch.from_arrays(out, names=[*schema.names, to, *["hits"] * spans])
+            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], *[f.name for f in new]])
 
-    return docs.mapInArrow(scan, f"{fields}, `{to}` double" + ", hits array<struct<term: string, edits: int>>" * spans)
+    return docs.mapInArrow(scan, StructType([*docs.schema.fields[:-1], *new]))

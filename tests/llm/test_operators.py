@@ -420,12 +420,35 @@ def test_classifiers(spark, field):
 def test_toxicity_tells_quotation_from_abuse():
     model = toxicity.LexiconAutomaton(["grumblefoot"], [True])
     memory = toxicity._Memory(model)
-    read = lambda t: toxicity.hit_features(t, toxicity.words_of(t), memory)[:2]
+    read = lambda t: toxicity.hit_features(t, memory)[:2]
     assert read("you are a grumblefoot and worse")[0] > 0 == read("you are a grumblefoot and worse")[1]
     assert read('the word "grumblefoot" is old')[1] > 0 == read('the word "grumblefoot" is old')[0]
     assert read("a grumblfoot")[0] > 0 and read("a grumbler")[0] == 0
 
 
+@pytest.mark.parametrize("text, quotes", [
+    ("I don't like you grumblefoot and you can't stay", False), ("İİİ İİ the 'grumblefoot' of old", True), ("İİİİİİ you grumblefoot, \"no\"", False),
+    ("they say «grumblefoot» here", True), ("« vieux grumblefoot »", True), ("er rief „du grumblefoot“ laut", True), ("“a grumblefoot” is what it is", True), ("»grumblefoot« steht da", True),
+    ("he had \"this\" you grumblefoot \"that\"", False), ("a quote ' hangs, grumblefoot, and ' goes", False), ("my dogs' grumblefoot and cats' tails", False), ("`grumblefoot`", True), ("\"one two three four five six seven grumblefoot eight\"", False), ("grumblefoot", False),
+])
+def test_quotation_by_paired_marks(text, quotes):
+    memory = toxicity._Memory(toxicity.LexiconAutomaton(["grumblefoot"], [True]))
+    abuse, quoted = toxicity.hit_features(text, memory)[:2]
+    assert (quoted > 0, abuse > 0) == (quotes, not quotes)
+
+
+def test_scores_of_odd_tables(spark):
+    """Clashing and odd column names, very long texts, and ties at the cut."""
+    docs = spark.createDataFrame([(1, "word " * 200_000, 5.0, 1, 2), (2, None, 5.0, 1, 2), (2, None, 5.0, 1, 2)], "doc_id long, text string, score double, `a``b` int, `c.d` int")
+    ranking = quality.Ranking(np.zeros(len(quality.FEATURES)), np.ones(len(quality.FEATURES)), np.zeros(len(quality.FEATURES)), 0.0, 0.5)
+    for got in (quality.score_documents(docs, ranking), toxicity.score_documents(docs, toxicity.ToxicModel(["word"], [False])), toxicity.score_documents(docs, toxicity.ToxicModel(base=0.7), spans=True).drop("hits")):
+        assert sorted(got.columns) == sorted(docs.columns)
+        rows = got.collect()
+        assert len(rows) == 3 and all(0 <= r.score <= 1 and r["a`b"] == 1 and r["c.d"] == 2 for r in rows)
+    # All strengths tie at the cut: the score is 0.7, which is accepted.
+    assert {r.score >= 0.7 for r in quality.score_documents(docs, ranking).collect()} == {True}
+
+
 @pytest.mark.parametrize("word, hit", [("abcdef", 0), ("abcdf", 1), ("abcxef", 1), ("abcdxef", 1), ("xabcdef", 1), ("abdcef", None), ("abcd", None), ("bcdef", 1)])
 def test_automaton(word, hit):
     got = toxicity.LexiconAutomaton(["abcdef"], [True]).match(word)
@@ -451,7 +474,7 @@ def test_stems_match_with_an_edit_and_by_window(spark):
     memory = toxicity._Memory(toxicity.LexiconAutomaton(model.terms, model.fuzzy))
     assert memory["grumbleing"][1] == 0 and memory["grxmbleing"][1] == 1 and memory["snxring"][1] == 1
     stem = toxicity._Memory(toxicity.LexiconAutomaton(["grumb*"], [True]))
-    read = lambda t: toxicity.hit_features(t, toxicity.words_of(t), stem)[3:5]
+    read = lambda t: toxicity.hit_features(t, stem)[3:5]
     assert read("you are a grumbler and worse")[0] > 0 == read("you are a grumbler and worse")[1]
     assert read('the word "grumbler" is old')[1] > 0 == read('the word "grumbler" is old')[0]
 
@@ -460,3 +483,12 @@ def test_stems_match_with_an_edit_and_by_window(spark):
 def test_word_hashes_tell_words_apart():
     words = vocabulary(5000, 6)
     assert len(set(common.hash_words([w.encode() for w in set(words)]).tolist())) == len(set(words))
+
+
+def test_long_words_with_one_polynomial_hash_differ():
+    a = b"a"
+    for _ in range(11):  # Thue-Morse words collide in every polynomial hash modulo 2**64
+        a += a.translate(bytes.maketrans(b"ab", b"ba"))
+    b = a.translate(bytes.maketrans(b"ab", b"ba"))
+    x, y = common.hash_words([a, b])
+    assert x != y and (common.hash_words([a]) == common.hash_words([a])).all()
