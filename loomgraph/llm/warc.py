@@ -1,8 +1,10 @@
 """WARC archives: writing with segments, reading with reassembly.
 
 Every page is a WARC 1.1 record with an HTTP response in chunked transfer framing.
-Blocks over ``SEGMENT`` bytes are split into a first record and continuation records.
-Pages whose payload another page holds are revisit records without a payload.
+Record ids name the page and the row, so no two records share one.  Blocks over
+``SEGMENT`` bytes are split into a first record and continuation records.  Pages whose
+payload another page holds are revisit records without a payload, which name that page
+and its address.
 
 Reading parses records by their Content-Length; continuation records are grouped by
 their origin's identifier, ordered by segment number, checked against the total
@@ -84,31 +86,34 @@ def _clean(value: str | None) -> str:
 def write_warc(pages: DataFrame, out: str, min_bytes: int = 0) -> None:
     """Writes gzip-compressed archives of (page_id, url, html) to the folder ``out``.
 
-    Null html is empty.  Of pages with equal payloads of at least ``min_bytes`` bytes
-    the one with the largest page_id is the response, the others revisit it; repeated
-    rows of that page are all responses, pages without an id too.
+    Null html is empty, a null or missing url too.  Of pages with equal payloads of at
+    least ``min_bytes`` bytes the one with the largest page_id is the response, the others
+    revisit it; repeated rows of that page are all responses, pages without an id too.
+    Other columns are left out.  Files are compressed whole, as Spark's writer does.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url") if "url" in pages.columns else F.lit("").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1("html"))
     # Equal payloads: equal digest and length.  A third of the rows may share one, so
     # its smallest part is aggregated first and the join may be split.
-    last = rows.select("page_id", "sha1", F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
-    last = materialise(last.groupBy("sha1", "size").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha1", "holder"), "payloads")
-    placed = rows.join(last, "sha1", "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("holder"), F.col("holder")).alias("refers_to"))
+    last = rows.select("page_id", "url", "sha1", F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
+    last = last.groupBy("sha1", "size").agg(F.max(F.struct("page_id", "url")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    last = materialise(last.select("sha1", F.col("h.page_id").alias("holder"), F.col("h.url").alias("holder_url")), "payloads")
+    again = F.col("page_id") < F.col("holder")
+    placed = rows.join(last, "sha1", "left").select("page_id", "url", "html", F.when(again, F.col("holder")).alias("refers_to"), F.when(again, F.col("holder_url")).alias("holder_url"))
+    placed = placed.withColumn("row", F.monotonically_increasing_id())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done, size = [], 0
-            for page, url, html, holder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page, url, html, holder, holder_url, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = html.encode()
                 digest = digest32(payload)
-                # With the digest, rows that share a page_id but not a payload stay apart.
-                name = f"<urn:page:{digest}:{page}>"
-                head = [("WARC-Record-ID", name), ("WARC-Date", _DATE), ("WARC-Target-URI", _clean(url)), ("WARC-Payload-Digest", "sha1:" + digest), ("X-Payload-Length", len(payload))]
+                name = f"urn:page:{'' if page is None else page}:{row}"
+                head = [("WARC-Record-ID", f"<{name}>"), ("WARC-Date", _DATE), ("WARC-Target-URI", _clean(url)), ("WARC-Payload-Digest", "sha1:" + digest), ("X-Payload-Length", len(payload))]
                 http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
                 if holder is not None:
                     block = http
-                    kind = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{digest}:{holder}>")]
+                    kind = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", _clean(holder_url)), ("WARC-Refers-To-Date", _DATE), ("X-Refers-To-Page", holder)]
                     done.append(record([*kind, *head], block))
                 else:
                     block = http + chunked(payload)
@@ -116,7 +121,7 @@ def write_warc(pages: DataFrame, out: str, min_bytes: int = 0) -> None:
                     first = [("WARC-Type", "response"), *head, ("Content-Type", "application/http;msgtype=response")]
                     done.append(record([*first, *[("WARC-Segment-Number", 1)] * many], block[:SEGMENT]))
                     for k in range(1, -(-len(block) // SEGMENT)):
-                        own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:page:{digest}:{page}:{k + 1}>"), ("WARC-Date", _DATE), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", k + 1)]
+                        own = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{name}:{k + 1}>"), ("WARC-Date", _DATE), ("WARC-Segment-Origin-ID", f"<{name}>"), ("WARC-Segment-Number", k + 1)]
                         if (k + 1) * SEGMENT >= len(block):
                             own.append(("WARC-Segment-Total-Length", len(block)))
                         done.append(record(own, block[k * SEGMENT : (k + 1) * SEGMENT]))
@@ -144,7 +149,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["origin", "segment", "total", "kind", "page_id", "digest", "size", "refers_to", "block"]
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
-        number = lambda x: int(x.strip("<>").rsplit(":", 1)[1]) if x and not x.endswith(":None>") else None
+        page_of = lambda x: int(k) if (k := x.strip("<>").split(":")[2]) else None
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 if blob[:2] == b"\x1f\x8b":
@@ -156,7 +161,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
                     own = kind != "continuation"
                     rows.append((
                         origin, int(h.get("warc-segment-number", 0)), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, kind,
-                        number(origin), h["warc-payload-digest"].removeprefix("sha1:") if own else None, int(h["x-payload-length"]) if own else None, number(h.get("warc-refers-to")), block,
+                        page_of(origin), h["warc-payload-digest"].removeprefix("sha1:") if own else None, int(h["x-payload-length"]) if own else None, int(h["x-refers-to-page"]) if "x-refers-to-page" in h else None, block,
                     ))
                     held += len(block)
                     if held > 4 << 20:
@@ -169,26 +174,17 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """One row per page, with its whole block.  Records in one piece pass by; segments
-    meet by origin, in order of segment number.  A group is one page's block; an origin
-    names payload and page, so repeated rows of a page hold equal segments."""
-    whole = records.where((F.col("segment") == 0) & (F.col("kind") != "continuation"))
-    parts = records.where((F.col("segment") > 0) | (F.col("kind") == "continuation"))
-    joined = parts.groupBy("origin").agg(
+    """One row per page (page_id, kind, digest, size, refers_to, parts), its block's parts
+    in order.  Records in one piece pass by; segments meet by origin, in order of segment
+    number, and their lengths must add up.  An origin is one row's record, so a group is
+    one page's block however often the page comes."""
+    whole = records.where((F.col("segment") == 0) & (F.col("kind") != "continuation")).select("page_id", "kind", "digest", "size", "refers_to", F.array("block").alias("parts"))
+    joined = records.where((F.col("segment") > 0) | (F.col("kind") == "continuation")).groupBy("origin").agg(
         F.max("page_id").alias("page_id"), F.max("digest").alias("digest"), F.max("size").alias("size"), F.max("total").alias("total"),
-        F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
-        F.sum(F.when(F.col("segment") == 1, 1)).alias("copies"),
+        F.sum(F.octet_length("block")).alias("held"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"),
     )
-    # Of repeated rows every copies-th segment is taken, for each copy.
-    step = F.filter("parts", lambda x, i: i % F.col("copies") == 0)
-    block = F.aggregate(step, F.lit(b""), lambda a, x: F.concat(a, x["block"]))
-    joined = joined.select(
-        "origin", "page_id", "digest", "size", F.lit(None).cast("long").alias("refers_to"), F.lit("response").alias("kind"), block.alias("block"), "total", "copies"
-    )
-    joined = joined.withColumn("block", F.when(F.octet_length("block") == F.col("total"), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing of "), F.col("origin")))))
-    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    keep = ["page_id", "kind", "digest", "size", "refers_to", "block"]
-    return whole.select(*keep).union(joined.select(*keep))
+    parts = F.when(F.col("held") == F.col("total"), F.col("parts.block")).otherwise(F.raise_error(F.concat(F.lit("segments missing of "), F.col("origin"))))
+    return whole.union(joined.select("page_id", F.lit("response").alias("kind"), "digest", "size", F.lit(None).cast("long").alias("refers_to"), parts.alias("parts")))
 
 
 def read_warc(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
@@ -198,16 +194,16 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = False) -> DataF
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            page, kind, digest, size, refers = (batch.column(i).to_pylist() for i in range(5))
+            page, kind, digest, size = (batch.column(i).to_pylist() for i in range(4))
             payload = []
-            for i, block in enumerate(batch.column(5).to_pylist()):
+            for i in range(batch.num_rows):
                 got = None
                 if kind[i] == "response":
-                    got, _ = _payload_of(block)
+                    got, _ = _payload_of(b"".join(batch.column(5)[i].as_py()))
                     if len(got) != size[i] or digest32(got) != digest[i]:
                         raise ValueError(f"payload of page {page[i]} is damaged")
-                payload.append(got)
-            columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(digest), pa.array(kind), pa.array(refers, pa.int64())]
+                payload.append(got if payloads else None)
+            columns = [batch.column(0), pa.array(size, pa.int64()), batch.column(2), batch.column(1), batch.column(4)]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(payload, pa.binary())] * payloads], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payloads])
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads

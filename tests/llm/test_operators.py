@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import random
 import zlib
 from collections import defaultdict
@@ -338,12 +339,15 @@ def test_warc(spark):
 
 def test_warc_payloads_and_loss(spark, tmp_path):
     html = "".join(random.Random(1).choice("abc<>é") for _ in range(120_000))
-    frame = spark.createDataFrame([(1, "u", html), (2, "u", "x")], "page_id long, url string, html string")
+    frame = spark.createDataFrame([(1, "u", html), (2, "u", "x"), (2, "u", "x"), (1, "u", html)], "page_id long, url string, html string")
     warc.write_warc(frame, f"{tmp_path}/a")
     got = {r.page_id: bytes(r.payload).decode() for r in warc.read_warc(spark, f"{tmp_path}/a", payloads=True).collect()}
     assert got == {1: html, 2: "x"}
     records = warc.read_records(spark, f"{tmp_path}/a")
     assert records.where("segment > 1").count() >= 3
+    text = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "a").glob("part-*"))
+    names = [h["warc-record-id"] for h, _ in warc.parse(text)]
+    assert len(names) == len(set(names)) == records.count()
     with pytest.raises(Exception, match="segments missing"):
         warc.reassemble(records.where("segment <> 2")).collect()
 
@@ -429,7 +433,7 @@ def test_toxicity_tells_quotation_from_abuse():
 @pytest.mark.parametrize("text, quotes", [
     ("I don't like you grumblefoot and you can't stay", False), ("İİİ İİ the 'grumblefoot' of old", True), ("İİİİİİ you grumblefoot, \"no\"", False),
     ("they say «grumblefoot» here", True), ("« vieux grumblefoot »", True), ("er rief „du grumblefoot“ laut", True), ("“a grumblefoot” is what it is", True), ("»grumblefoot« steht da", True),
-    ("he had \"this\" you grumblefoot \"that\"", False), ("a quote ' hangs, grumblefoot, and ' goes", False), ("my dogs' grumblefoot and cats' tails", False), ("`grumblefoot`", True), ("\"one two three four five six seven grumblefoot eight\"", False), ("grumblefoot", False),
+    ("he had \"this\" you grumblefoot \"that\"", False), ("a mark ' hangs, grumblefoot, and ' goes", False), ("my dogs' grumblefoot and cats' tails", False), ("`grumblefoot`", True), ("\"one two three four five six seven grumblefoot eight\"", False), ("grumblefoot", False),
 ])
 def test_quotation_by_paired_marks(text, quotes):
     memory = toxicity._Memory(toxicity.LexiconAutomaton(["grumblefoot"], [True]))
