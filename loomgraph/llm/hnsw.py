@@ -1,17 +1,20 @@
 """Embedding near-dedup: hierarchical navigable small-world graphs per shard.
 
 Equal vectors are one class, searched once and counted with its weight.  Classes are
-dealt to shards by a hash of their id.  Each shard builds a layered
-graph; then every class is looked up in every shard, in blocks.  A search keeps a
-beam of the best nodes; while all of a beam links, or while an audit of sample
-queries against brute force misses links, the beam is widened.  An audit goes on
-until it has seen ``AUDIT_LINKS`` true links of queries with few, or the whole block;
-audited queries keep their exact answer.  Links are confirmed by cosine in double
-precision.  A block returns each vector's number of links and a spanning set of
-edges, and holds the pairs of one slice of queries at a time; components are the
-union of those edges over all blocks.
-
-Searches of a block run in step, as array operations over all its queries.
+dealt to shards, whose size in bytes is bounded, by a hash of their id.  Each shard
+builds a layered graph.  Every pair of shards meets once: the vectors of one are looked
+up in the other's graph, and within a shard each vector looks for those of smaller id.
+A link found counts for both its vectors, so numbers of links are symmetric.
+
+A search keeps a beam of the best nodes; while all of a beam links, or while an audit
+against brute force misses links, the beam is widened.  Audits hold sampled queries and
+``PLANTED`` ones, rows of the shard turned by up to the angle of a link in a random
+direction, so each audit has true links to find however sparse the data are.  Links are
+confirmed by cosine in double precision wherever single precision leaves a doubt.  A
+task returns each vector's number of links and a spanning set of edges, and holds the
+pairs of one slice of queries at a time; components are the union of those edges.
+
+Searches of a task run in step, as array operations over all its queries.
 """
 
 from __future__ import annotations
@@ -31,13 +34,13 @@ from .common import materialise, mix64
 from .components import connected_components
 
 COSINE = 0.9
-#: Shards at least, and vectors of a shard at most; queries of a block.
-SHARDS, SHARD_ROWS, BLOCK = 8, 200_000, 8_192
+#: Shards at least, and bytes of a shard's index at most, about.
+SHARDS, SHARD_BYTES = 8, 96 << 20
 #: Neighbours of a node; beams of building and of the first search.
 DEGREE, BUILD_BEAM, SEARCH_BEAM = 12, 32, 16
-#: Queries that an audit of a block begins with, true links that it must see (a query's own
-#: vector isn't one; queries with a full first beam don't count), and the recall to be reached.
-AUDITS, AUDIT_LINKS, RECALL = 64, 100, 0.99
+#: Queries of a task that are audited, planted queries beside them, and the recall that
+#: both must reach.
+AUDITS, PLANTED, RECALL = 64, 192, 0.99
 #: Numbers held at once by a slice of queries, pairs that an audit keeps of queries with many
 #: links, and edges that are kept before they are reduced to spanning ones.
 CELLS, AUDIT_PAIRS, EDGES = 4_000_000, 1_000_000, 1_000_000
@@ -208,78 +211,90 @@ class ShardIndex:
             entry = np.where(found >= 0, layer.nodes[np.maximum(found, 0)], -1)
         return entry
 
-    def _exact(self, q: np.ndarray, rows_q: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
-        """Which pairs (query, row) link, in double precision."""
-        out, step = np.zeros(len(rows), bool), max(1, CELLS // q.shape[1])
-        for lo in range(0, len(rows), step):
-            part = slice(lo, lo + step)
+    def _exact(self, q: np.ndarray, rows_q: np.ndarray, rows: np.ndarray, cos: np.ndarray, least: float) -> np.ndarray:
+        """Which pairs (query, row) link; ``cos`` in single precision.
+
+        That is off by less than ``_doubt``; pairs nearer to ``least`` are told in double."""
+        out = cos >= least + self._doubt
+        open_ = np.flatnonzero(~out)
+        step = max(1, CELLS // q.shape[1])
+        for lo in range(0, len(open_), step):
+            part = open_[lo : lo + step]
             out[part] = np.einsum("kd,kd->k", q[rows_q[part]], _unit(self.vectors[rows[part]])) >= least
         return out
 
-    def _brute(self, q: np.ndarray, who: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(queries of a slice, query, row): all links of the queries ``who``, slice by slice."""
+    @property
+    def _doubt(self) -> float:
+        """Twice the largest error of a single-precision product of unit vectors."""
+        return (self.unit.shape[1] + 4) * 2.0**-23
+
+    def _brute(self, q: np.ndarray, who: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, row): all links of the queries ``who``, slice by slice."""
         step = max(1, CELLS // max(1, len(self.ids)))
         for lo in range(0, len(who), step):
             part = who[lo : lo + step]
-            a, b = np.nonzero(q[part].astype(np.float32) @ self.unit.T >= least - 1e-4)
-            a = part[a]
-            keep = self._exact(q, a, b, least)
-            yield part, a[keep], b[keep]
+            cos = q[part].astype(np.float32) @ self.unit.T
+            a, b = np.nonzero(cos >= least - self._doubt)
+            cos, a = cos[a, b], part[a]
+            keep = self._exact(q, a, b, cos, least)
+            yield a[keep], b[keep]
+
+    def _planted(self, least: float) -> np.ndarray:
+        """Unit vectors that link with a row each: sampled rows, turned at random."""
+        rng = np.random.default_rng(len(self.ids))
+        x = _unit(self.vectors[rng.permutation(len(self.ids))[:PLANTED]])
+        side = rng.normal(size=x.shape)
+        side -= np.einsum("kd,kd->k", side, x)[:, None] * x
+        # Of one component, nothing is at right angles: such rows stay as they are.
+        size = np.sqrt((side * side).sum(1, keepdims=True))
+        c = rng.uniform(least + 0.01 * (1 - least), 1, (len(x), 1))
+        return np.where(size > 1e-9, c * x + np.sqrt(1 - c * c) * side / np.maximum(size, 1e-9), x)
 
     def links(self, q: np.ndarray, least: float, own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
         """(query, row, seen, hit): links found for unit vectors ``q``, by slices of queries.
 
-        ``own``: ids of the queries; a row of the same id is no link.  ``seen`` and ``hit``
-        add up to the audited true links and those of them that are found as the other
-        queries' are."""
+        ``own``: ids of the queries, where they are vectors of this shard: each then links
+        with rows of smaller ids only.  ``seen`` and ``hit`` add up to the audited true
+        links and those of them that the search finds."""
+        if not len(q) or not len(self.ids):
+            return
         n = len(self.ids)
-        has_own = np.zeros(len(q), bool) if own is None else np.isin(own, self.ids)
-        own = np.full(len(q), np.iinfo(np.int64).min) if own is None else own
         order = np.argsort(mix64(np.arange(len(q), dtype=np.uint64)), kind="stable")
-        sparse = many = done = 0
+        audit = order[:AUDITS]
+        asked = np.concatenate([q[audit], self._planted(least)])
         kept: list[tuple[np.ndarray, np.ndarray]] = []
-        size = AUDITS
-        while done < len(q) and sparse < AUDIT_LINKS:
-            for part, a, b in self._brute(q, order[done : done + size], least):
-                other = own[a] != self.ids[b]
-                a, b = a[other], b[other]
-                yield a, b, 0, 0
-                count = np.bincount(a, minlength=len(q))
-                few = count[a] + has_own[a] < SEARCH_BEAM
-                sparse += int(few.sum())
-                kept.append((a[few], b[few]))
-                if many < AUDIT_PAIRS:
-                    kept.append((a[~few], b[~few]))
-                    many += int((~few).sum())
-            done, size = min(len(q), done + size), max(AUDITS, done)
-        key = np.sort(np.concatenate([a * n + b for a, b in kept])) if kept else np.zeros(0, int)
-        if done == len(q):
-            # Every query has its exact answer.
-            yield np.zeros(0, int), np.zeros(0, int), len(key), len(key)
-            return
-        linked, few_of = np.unique(key // n), np.bincount(key // n, minlength=len(q)) + has_own < SEARCH_BEAM
+        size, held = np.zeros(len(asked), np.int64), 0
+        for a, b in self._brute(asked, np.arange(len(asked)), least):
+            size += np.bincount(a, minlength=len(asked))
+            few = size[a] < SEARCH_BEAM
+            # Pairs of queries with many links are kept up to a bound: they are judged apart.
+            kept.append((a[few], b[few]))
+            if held < AUDIT_PAIRS:
+                kept.append((a[~few], b[~few]))
+                held += int((~few).sum())
+        key = np.sort(np.concatenate([a * n + b for a, b in kept]))
+        linked, few = np.unique(key // n), size[key // n] < SEARCH_BEAM
         beam = SEARCH_BEAM
         while True:
-            found = [a * n + b for a, b in self._range(q, linked, least, beam)]
+            found = [a * n + b for a, b in self._range(asked, linked, least, beam)]
             hits = np.isin(key, np.concatenate(found), assume_unique=True) if found else np.zeros(len(key), bool)
-            few = few_of[key // n]
-            # Queries with few links are judged apart, so that those of a large group don't hide them.
-            recall = min(x.mean() if len(x) else 1.0 for x in (hits[few], hits[~few]))
+            # Planted queries, and those with few links, are judged apart from large groups.
+            planted = key // n >= len(audit)
+            recall = min((x.mean() for x in (hits[few & ~planted], hits[few & planted], hits[~few]) if len(x)), default=1.0)
             if recall >= RECALL or beam >= n:
                 break
             beam *= 2
         yield np.zeros(0, int), np.zeros(0, int), len(key), int(hits.sum())
-        for a, b in self._range(q, order[done:], least, beam):
-            other = own[a] != self.ids[b]
-            yield a[other], b[other], 0, 0
+        for a, b in self._range(q, np.arange(len(q)), least, beam):
+            keep = slice(None) if own is None else own[a] > self.ids[b]
+            yield a[keep], b[keep], 0, 0
 
     def _range(self, q: np.ndarray, todo: np.ndarray, least: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, row) of the links of the queries ``todo``, by slices."""
         n = len(self.ids)
         while len(todo):
             if beam * 4 >= n:
-                for _, a, b in self._brute(q, todo, least):
-                    yield a, b
+                yield from self._brute(q, todo, least)
                 return
             wide = []
             # A step of a search looks at the neighbours of up to an eighth of the beam.
@@ -291,11 +306,11 @@ class ShardIndex:
                 above, base = self.layers[:-1], self.layers[-1]
                 entry = self._descend(x, above) if above else np.zeros((len(x), 1), int)
                 found, cos = _search(self.unit, base.near, x, entry, beam)
-                full = cos[:, -1] >= least - 1e-4  # all of the beam links: look wider
+                full = cos[:, -1] >= least - self._doubt  # all of the beam links: look wider
                 wide.append(part[full])
-                a, k = np.nonzero((cos >= least - 1e-4) & ~full[:, None])
-                b, a = found[a, k], part[a]
-                keep = self._exact(q, a, b, least)
+                a, k = np.nonzero((cos >= least - self._doubt) & ~full[:, None])
+                near, b, a = cos[a, k], found[a, k], part[a]
+                keep = self._exact(q, a, b, near, least)
                 yield a[keep], b[keep]
             todo, beam = np.concatenate(wide), beam * 4
 
@@ -348,7 +363,8 @@ def vector_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     out, so are rows without an id.  Counting is by partial aggregates, so a vector
     with a third of all rows gathers nowhere.
     """
-    good = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    good = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("v"))
     fits = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     good = good.where(fits).withColumn("h", F.struct(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b")))
     rows = materialise(good, "vectors")
@@ -359,15 +375,17 @@ def vector_classes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
 
 
 def near_vectors(classes: DataFrame, least: float = COSINE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links by class and shard: id, n; edges: u, v; audits by shard and block: true links
-    seen, of them hit) of ``vector_classes``.
+    """(links by class and task: id, n; edges: u, v; audits by task: true links seen, of
+    them hit) of ``vector_classes``.
 
-    A link counts as often as the linked class has ids.  Vectors of different lengths
-    never link: a shard holds one length.
+    A link counts for both its classes, for each as often as the other has ids.  Vectors
+    of different lengths never link: a shard holds one length.
     """
     good = materialise(classes.withColumn("d", F.size("v")), "class-vectors")
-    n = good.count()
-    shards, blocks = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // BLOCK))
+    # Of a vector: itself, its unit vector in single precision, its neighbours.
+    number = 4 if good.schema["v"].dataType.elementType.simpleString() == "float" else 8
+    size = good.agg(F.sum(F.col("d") * (number + 4) + 5 * 2 * DEGREE).alias("bytes")).first()["bytes"] or 0
+    shards = max(SHARDS, -(-size // SHARD_BYTES))
     good = good.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -375,41 +393,49 @@ def near_vectors(classes: DataFrame, least: float = COSINE) -> tuple[DataFrame,
         index = ShardIndex(pdf["id"].to_numpy(), np.stack(pdf["v"].to_list()), weights=pdf["weight"].to_numpy())
         return pd.DataFrame({"d": [key[0]], "shard": [key[1]], "index": [index.to_bytes()]})
 
-    # An index fits one task: SHARD_ROWS vectors at most, dealt by hash.
+    # An index fits one task: about SHARD_BYTES, dealt by hash.
     built = materialise(good.groupBy("d", "shard").applyInPandas(build, "d int, shard int, index binary"), "hnsw")
-    asked = good.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).drop("shard")
-    every = built.select(F.col("d").alias("of"), F.col("shard").alias("to"))  # two numbers a shard
-    asked = asked.drop("weight").join(every, F.col("d") == F.col("of")).select("id", "v", "d", F.col("to").alias("shard"), "block")
-    served = built.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # Every pair of shards once; which of the two is asked takes turns, so that each index
+    # goes to about half of the others.
+    names = built.select("d", "shard")  # two numbers a shard
+    pairs = names.withColumnRenamed("shard", "i").join(names.withColumnRenamed("shard", "j"), "d").where("i <= j")
+    turned = (F.col("i") + F.col("j")) % 2 == 1
+    pairs = materialise(pairs.select("d", F.when(turned, F.col("j")).otherwise(F.col("i")).alias("of"), F.when(turned, F.col("i")).otherwise(F.col("j")).alias("by")), "shard-pairs")
+    asked = good.join(pairs.withColumnRenamed("by", "shard"), ["d", "shard"]).select("d", "of", F.col("shard").alias("by"), "id", "v", "weight")
+    served = built.join(pairs.withColumnRenamed("of", "shard"), ["d", "shard"]).select("d", F.col("shard").alias("of"), "by", "index")
 
     def ask(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         columns = ["id", "n", "u", "v", "seen", "hit"]
         if not len(queries) or not len(index):
             return pd.DataFrame({c: [] for c in columns})
         shard = ShardIndex.from_bytes(index["index"].iloc[0])
-        ids = queries["id"].to_numpy()
-        n, edges, kept, seen, hit = np.zeros(len(ids), np.int64), [], 0, 0, 0
-        for a, b, s, h in shard.links(_unit(np.stack(queries["v"].to_list())), least, ids):
+        del index
+        ids, weights = queries["id"].to_numpy(), queries["weight"].to_numpy()
+        n, m = np.zeros(len(ids), np.int64), np.zeros(len(shard.ids), np.int64)
+        edges, kept, seen, hit = [], 0, 0, 0
+        for a, b, s, h in shard.links(_unit(np.stack(queries["v"].to_list())), least, ids if key[1] == key[2] else None):
             seen, hit = seen + s, hit + h
             if not len(a):
                 continue
-            n += np.bincount(a, weights=shard.weights[b], minlength=len(ids)).astype(np.int64)
+            n += np.bincount(a, weights=shard.weights[b], minlength=len(n)).astype(np.int64)
+            m += np.bincount(b, weights=weights[a], minlength=len(m)).astype(np.int64)
             edges.append(_spanning(ids[a], shard.ids[b]))
             kept += len(edges[-1][0])
             if kept > EDGES:
                 edges = [_spanning(*(np.concatenate(x) for x in zip(*edges, strict=True)))]
                 kept = len(edges[0][0])
         u, v = _spanning(*(np.concatenate(x) for x in zip(*edges, strict=True))) if edges else (ids[:0], ids[:0])
-        rows = [pd.DataFrame({"id": ids[n > 0], "n": n[n > 0]}), pd.DataFrame({"u": u, "v": v}), pd.DataFrame({"seen": [seen], "hit": [hit]})]
+        rows = [pd.DataFrame({"id": i[k > 0], "n": k[k > 0]}) for i, k in ((ids, n), (shard.ids, m))]
+        rows += [pd.DataFrame({"u": u, "v": v}), pd.DataFrame({"seen": [seen], "hit": [hit]})]
         return pd.concat([r.reindex(columns=columns).astype("Int64") for r in rows])
 
-    got = asked.groupBy("d", "shard", "block").cogroup(served.groupBy("d", "shard", "block")).applyInPandas(ask, "id long, n long, u long, v long, seen long, hit long")
+    got = asked.groupBy("d", "of", "by").cogroup(served.groupBy("d", "of", "by")).applyInPandas(ask, "id long, n long, u long, v long, seen long, hit long")
     got = materialise(got, "links")
     return got.where("id is not null").select("id", "n"), got.where("u is not null").select("u", "v"), got.where("seen is not null").select("seen", "hit")
 
 
 def audited_recall(audits: DataFrame) -> tuple[float, int]:
-    """Recall over the audited true links of all shards and blocks, and their number."""
+    """Recall over the audited true links of all tasks, and their number."""
     seen, hit = audits.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("hit"), F.lit(0))).first()
     return (hit / seen if seen else 1.0), seen
 
