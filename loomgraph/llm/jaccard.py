@@ -15,10 +15,11 @@ documents link when ``100 * |A & B| >= threshold * |A | B|``.
    many pairs.  This alone gathers groups of copies, however large.
 4. *R-tree.*  Where a cell still holds several components, its classes become
    points: shingles are hashed into ``GROUPS`` groups and counted.  The R-tree's
-   boxes keep the largest count of each group; the sum of coordinate minima of a
-   point and a box bounds every overlap below it.  Pairs of different components
-   that survive are verified exactly.  Cells over ``BLOCK`` classes are split into
-   pairs of blocks, so no task gathers a whole cell.
+   boxes, level over level, keep the largest count of each group; the sum of coordinate
+   minima of a point and a box bounds every overlap below it.  Pairs of different
+   components that survive are verified exactly.  Cells over ``BLOCK`` classes are split
+   by set size and into pairs of blocks, so no task gathers a whole cell, and blocks
+   whose sizes are too far apart to link never meet.
 
 Components of the links are found by alternating stars; nothing is collected.
 """
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, broadcast_if_small, materialise, shingle_hashes, text_slices, word_hashes, word_spans
@@ -44,8 +45,10 @@ POOL, KEYS = 40, 20
 COMMON = 100
 #: Orders by which pivots are chosen, told by the cell's key.
 PIVOTS = 4
-#: Hash groups of a count vector, and points of a block and of a leaf.
+#: Hash groups of a count vector, points of a block, and children of a box.
 GROUPS, BLOCK, LEAF = 256, 2_048, 8
+#: Steps of set size: sets that link lie in one step or in neighbouring ones.
+STEP = 1.25
 #: Ids that may be broadcast to pick texts (8 bytes each, counted before).
 BROADCAST_IDS = 1_000_000
 
@@ -104,63 +107,71 @@ def cells(classes: DataFrame) -> DataFrame:
     return met.where((rank < KEYS) & ((F.col("common") == 0) | mostly)).select("key", "id", "n", "known")
 
 
-def shingles_of(docs: DataFrame, wanted: DataFrame, rows: int, *carry: str) -> DataFrame:
-    """(id, carried columns, shingles) of the documents listed in ``wanted``.
+def size_step(n: str = "n") -> Column:
+    return F.floor(F.log(F.col(n).cast("double")) / F.log(F.lit(STEP))).cast("long")
 
-    ``rows`` is the counted size of ``wanted``: up to BROADCAST_IDS ids travel to
-    the texts, beyond that texts and ids meet by a shuffle."""
-    picked = docs.select(F.col("id"), "text").join(broadcast_if_small(wanted, rows, BROADCAST_IDS), "id").select("id", *carry, "text")
-    kinds = {f.name: f.dataType.simpleString() for f in picked.schema}
+
+def shingles_of(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """(id, shingles) of the documents listed in ``wanted`` (id).
+
+    ``rows`` is its counted size: up to BROADCAST_IDS ids, 8 bytes each, travel to the
+    texts, beyond that texts and ids meet by a shuffle."""
+    picked = docs.select("id", "text").join(broadcast_if_small(wanted.select("id"), rows, BROADCAST_IDS), "id").select("id", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.num_columns - 1
-            for lo, hi, data, offsets in text_slices(batch.column(k)):
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns[:k], _lists(shingle_sets(data, offsets))], names=["id", *carry, "shingles"])
+            for lo, hi, data, offsets in text_slices(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _lists(shingle_sets(data, offsets))], names=["id", "shingles"])
 
-    return picked.mapInArrow(scan, ", ".join(f"`{c}` {kinds[c]}" for c in ("id", *carry)) + ", shingles array<long>")
+    return picked.mapInArrow(scan, "id long, shingles array<long>")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (u, v) that link, by exact intersection of their shingle sets.
 
-    Sets travel to the second member: once for every partner, and once for the
-    member itself."""
+    Each document's set is made once and written.  Pairs meet the sets by two joins, row
+    by row, so a class with many partners is gathered nowhere, and adaptive execution may
+    split it."""
     pairs = materialise(pairs, "candidates")
-    left = pairs.groupBy("u").agg(F.collect_set("v").alias("vs")).withColumnRenamed("u", "id")
-    right = pairs.select(F.col("v").alias("id")).distinct()
-    left, right = materialise(left, "left"), materialise(right, "right")
-    a = shingles_of(docs, left, left.count(), "vs").select(F.explode("vs").alias("v"), F.col("id").alias("u"), F.col("shingles").alias("a"))
-    b = shingles_of(docs, right, right.count()).select(F.col("id").alias("v"), F.col("shingles").alias("b"))
+    ids = materialise(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "candidate-ids")
+    sets = materialise(shingles_of(docs, ids, ids.count()), "candidate-sets")
+    a = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
     both = F.size(F.array_intersect("a", "b"))
-    return a.join(b, "v").where(both * 100 >= (F.size("a") + F.size("b") - both) * threshold).select("u", "v")
+    met = a.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+    return met.where(both * 100 >= (F.size("a") + F.size("b") - both) * threshold).select("u", "v").distinct()
 
 
 # --------------------------------------------------------------------- R-tree
 class CountTree:
-    """R-tree over count vectors, packed by size and then by group counts."""
+    """R-tree over count vectors, packed by size and then by group counts.
+
+    A box holds the largest count of each group, and the range of sizes, of up to ``LEAF``
+    points or boxes below it; levels go up to a handful of boxes."""
 
     def __init__(self, sizes: np.ndarray, counts: np.ndarray):
         self.order = np.lexsort((counts[:, 1 % counts.shape[1]], counts[:, 0], sizes)) if len(sizes) else np.zeros(0, int)
-        self.sizes, self.counts = sizes[self.order], counts[self.order]
-        cuts = np.arange(0, len(sizes), LEAF)
-        self.box = np.maximum.reduceat(self.counts, cuts, axis=0) if len(sizes) else counts
-        self.low, self.high = (self.sizes[cuts], self.sizes[np.minimum(cuts + LEAF, len(sizes)) - 1]) if len(sizes) else (sizes, sizes)
+        self.levels = [(sizes[self.order], sizes[self.order], counts[self.order])]
+        while len(self.levels[-1][0]) > LEAF:
+            low, high, box = self.levels[-1]
+            cuts = np.arange(0, len(low), LEAF)
+            self.levels.append((np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.maximum.reduceat(box, cuts, axis=0)))
 
     def search(self, size: int, count: np.ndarray, threshold: int) -> np.ndarray:
         """Points that may link with a set of this size and these counts."""
-        # Overlap o of sets n, m links if 100 o >= threshold (n + m - o).
-        need = threshold * (size + np.maximum(self.low, np.ceil(size * threshold / 100))) / (100 + threshold)
-        fits = (self.low * threshold <= size * 100) & (self.high * 100 >= size * threshold)
-        boxes = np.flatnonzero(fits)
-        boxes = boxes[np.minimum(self.box[boxes], count).sum(1, dtype=np.int64) >= need[boxes] - 1e-9]
-        at = (boxes[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = at[at < len(self.sizes)]
-        overlap = np.minimum(self.counts[at], count).sum(1, dtype=np.int64)
-        m = self.sizes[at]
-        keep = (overlap * (100 + threshold) >= threshold * (size + m)) & (np.minimum(m, size) * 100 >= np.maximum(m, size) * threshold)
-        return self.order[at[keep]]
+        at = np.arange(len(self.levels[-1][0]))
+        for k in range(len(self.levels) - 1, -1, -1):
+            low, high, box = (x[at] for x in self.levels[k])
+            fits = (low * threshold <= size * 100) & (high * 100 >= size * threshold)
+            at, low, box = at[fits], low[fits], box[fits]
+            # Overlap o of sets n, m links if 100 o >= threshold (n + m - o); below a box m
+            # is at least its smallest size, and at least what the threshold leaves.
+            least = np.maximum(low, -(-size * threshold // 100))
+            bound = np.minimum(box, count).sum(1, dtype=np.int64)
+            at = at[bound * (100 + threshold) >= threshold * (size + least)]
+            if k:
+                at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
+                at = at[at < len(self.levels[k - 1][0])]
+        return self.order[at]
 
 
 def _tree_pairs(group: pa.Table, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +203,6 @@ def tree_candidates(docs: DataFrame, met: DataFrame, threshold: int) -> DataFram
     first cell that both are in.
 
     ``met`` has (key, id, n, component), cells with several components only."""
-    size = materialise(met.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "cell-sizes")
     ids = materialise(met.select("id").distinct(), "cell-ids")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,11 +215,17 @@ def tree_candidates(docs: DataFrame, met: DataFrame, threshold: int) -> DataFram
     points = materialise(shingles_of(docs, ids, ids.count()).mapInArrow(scan, "id long, counts binary"), "points")
     # At most POOL cells a class.
     points = materialise(points.join(met.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys")), "id"), "placed-points")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    # Cells of one block stay whole; larger ones are split by step of size, then by hash.
+    size = met.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    placed = met.join(size, "key").withColumn("level", F.when(F.col("c") <= BLOCK, 0).otherwise(size_step()))
+    steps = materialise(placed.groupBy("key", "level").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")), "cell-steps")
+    near = steps.withColumn("at", F.explode(F.array(*[F.col("level") + k for k in (-1, 0, 1)])))
+    near = near.join(steps.select("key", F.col("level").alias("at"), F.col("blocks").alias("others")), ["key", "at"])
+    code = lambda level, k: F.col(level) * (1 << 32) + F.col(k)
     dealt = (
-        met.join(size, "key").withColumn("blocks", blocks).withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed.join(near, ["key", "level"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+        .withColumns({"own": code("level", "own"), "other": code("at", "other")})
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "component")
     )
     dealt = dealt.join(points, "id")
@@ -255,8 +271,7 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, id_col: str
     met = materialise(cells(classes), "cells")
     # Pivots: of each cell and size class, the most central class, which links with most
     # of a group of near copies, and the one that comes first in one of a few orders.
-    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
-    placed = met.withColumn("level", level)
+    placed = met.withColumn("level", size_step())
     order = F.struct(F.xxhash64("id", F.pmod("key", F.lit(PIVOTS))), F.col("id"), F.col("n"))
     centre = F.struct("known", "id", "n")
     pivots = placed.groupBy("key", "level").agg(F.min(order).alias("p"), F.max(centre).alias("q"))

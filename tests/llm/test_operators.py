@@ -113,6 +113,40 @@ def test_count_tree_loses_nothing():
     for i, s in enumerate(sets):
         want = {j for j, t in enumerate(sets) if 100 * len(s & t) >= 80 * len(s | t)}
         assert want <= set(tree.search(sizes[i], counts[i], 80).tolist())
+    # Three levels of boxes, and next to nothing but the links comes out of them.
+    sets = [frozenset((1000 * (k // 4) + j) * 7919 % 100_003 for j in range(k % 4, 60)) for k in range(600)]
+    counts = np.stack([np.bincount(np.array(sorted(s)) % 256, minlength=256) for s in sets]).astype(np.uint32)
+    tree = jaccard.CountTree(np.array([len(s) for s in sets]), counts)
+    assert len(tree.levels) == 4
+    found = 0
+    for i, s in enumerate(sets):
+        want = {j for j, t in enumerate(sets) if 100 * len(s & t) >= 80 * len(s | t)}
+        got = set(tree.search(len(s), counts[i], 80).tolist())
+        assert want <= got
+        found += len(got) - len(want)
+    assert found < 600
+    assert len(jaccard.CountTree(np.zeros(0, int), np.zeros((0, 16), np.uint32)).search(5, np.zeros(16), 80)) == 0
+
+
+def test_tree_pairs_of_split_cells(spark, monkeypatch):
+    """Cells of many blocks and sizes: the same pairs as of one block."""
+    rng, words = random.Random(3), vocabulary(2000, 9)
+    base = [rng.choice(words) for _ in range(300)]
+    rows = []
+    for i in range(90):
+        own = list(base[: rng.choice([40, 60, 100, 105, 300])])
+        for _ in range(rng.choice([0, 1, 3])):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        rows.append((i, " ".join(own)))
+    texts = documents(spark, rows, extra=False).withColumnRenamed("doc_id", "id")
+    sets = jaccard.shingle_sets(*spotsigs._flat([t for _, t in rows]))
+    met = spark.createDataFrame([(5, i, len(s), i) for i, s in enumerate(sets)], "key long, id long, n long, component long")
+    pairs = lambda: {(r.u, r.v) for r in jaccard.tree_candidates(texts, met, 80).collect()}
+    whole = pairs()
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    assert pairs() == whole
+    want = {(a, b) for a in range(90) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert want <= whole and len(want) > 300
 
 
 # -------------------------------------------------------------------- spotsigs
