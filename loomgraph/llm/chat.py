@@ -153,18 +153,27 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
 REPLY_SCHEMA = "array(named_struct('arg', 'prompt', 'kind', 'string', 'required', true, 'max_length', 400), named_struct('arg', 'turn', 'kind', 'integer', 'required', true, 'max_length', cast(null as int)), named_struct('arg', 'role', 'kind', 'string', 'required', false, 'max_length', 16))"
 
 
+#: Length of a prompt from which on it needs the following call's reply.
+LONG_PROMPT = 400
+
+
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A conversation table as calls, results and schemas.
 
-    Every user or system turn asks for a reply and depends on the call of two turns
-    before; an assistant turn is the result of the turn before it."""
+    Every turn but the assistant's asks for a reply; an assistant turn is the result of
+    the turn before it.  A call depends on the one of two turns before.  Opening system
+    turns depend on the next turn, and prompts over ``LONG_PROMPT`` letters on the call of
+    two turns later instead: such calls are late, and a long prompt before a short one
+    makes a cycle of both."""
     ident = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
     keyed = turns.where("conv_id is not null and turn is not null")
     asked = keyed.where("role is null or role <> 'assistant'")
+    turn = F.col("turn")
+    needs = F.when((F.col("role") == "system") & (turn == 0), turn + 1).when(F.length("text") > LONG_PROMPT, turn + 2).when(turn >= 2, turn - 2)
     calls = asked.select(
-        ident(F.col("turn")).alias("call_id"), "conv_id", F.col("turn").cast("long").alias("position"), F.lit("reply").alias("name"),
-        F.map_filter(F.create_map(F.lit("prompt"), F.col("text"), F.lit("turn"), F.col("turn").cast("string"), F.lit("role"), F.col("role")), lambda _, v: v.isNotNull()).alias("arguments"),
-        F.when(F.col("turn") >= 2, F.array(ident(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+        ident(turn).alias("call_id"), "conv_id", turn.cast("long").alias("position"), F.lit("reply").alias("name"),
+        F.map_filter(F.create_map(F.lit("prompt"), F.col("text"), F.lit("turn"), turn.cast("string"), F.lit("role"), F.col("role")), lambda _, v: v.isNotNull()).alias("arguments"),
+        F.when(needs.isNotNull(), F.array(ident(needs))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
     )
     results = keyed.where("role = 'assistant'").select(ident(F.col("turn") - 1).alias("call_id"), F.col("turn").cast("long").alias("position"), F.col("text").alias("content"))
     schemas = turns.sparkSession.range(1).select(F.lit("reply").alias("tool"), F.expr(REPLY_SCHEMA).alias("params"))

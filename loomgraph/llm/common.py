@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 #: Bytes of text handled at once inside a task.
 CHUNK_BYTES = 1 << 20
@@ -93,12 +94,14 @@ def fresh_name(name: str, taken: list[str]) -> str:
     return name
 
 
-def with_text(docs: DataFrame, text_col: str, new: list[str]) -> DataFrame:
-    """``docs`` without columns of the names ``new``, and its text as the last column,
-    under a name that no other column has."""
+def with_text(docs: DataFrame, text_col: str, new: list[str]) -> tuple[DataFrame, list[StructField]]:
+    """``docs`` without columns of the names ``new``, under names of their places, with the
+    text as the last column; and the fields that the places stand for.  (Functions over
+    Arrow batches can't be given columns with dots and backticks in their names.)"""
     gone = {c.lower() for c in new}
-    keep = [F.col(quoted(c)) for c in docs.columns if c.lower() not in gone]
-    return docs.select(*keep, F.col(quoted(text_col)).cast("string").alias(fresh_name("text", docs.columns)))
+    keep = [f for f in docs.schema.fields if f.name.lower() not in gone]
+    places = [F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(keep)]
+    return docs.select(*places, F.col(quoted(text_col)).cast("string").alias("text")), keep
 
 
 def quoted(name: str) -> str:

@@ -267,7 +267,7 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, id_col: str
         raise ValueError("the cells are laid out for a threshold of at least 80")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = materialise(shingle_summaries(docs, id_col, text_col), "shingles")
-    classes = found.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("pool").alias("pool"))
+    classes = materialise(found.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("pool").alias("pool")), "classes")
     met = materialise(cells(classes), "cells")
     # Pivots: of each cell and size class, the most central class, which links with most
     # of a group of near copies, and the one that comes first in one of a few orders.

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialise
+from .common import fresh_name, materialise, quoted
 from .segments import ByteLevelIds
 
 LENGTH = 1024
@@ -126,18 +127,20 @@ def pack_pieces(pieces: DataFrame, cap: int = LENGTH) -> DataFrame:
     """``pieces`` with sequence_id, offset, sequence_tokens and padded_length.
 
     A sequence whose tokens are a power of two is left at that length; others are
-    padded to ``cap``.  ``pieces`` must be a written table, read alike each time.
+    padded to ``cap``.  ``pieces`` must be a written table, read alike each time, with
+    the columns of ``cut_pieces``; further ones are kept, but none of the new names.
     """
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = plan_packing(counts, cap)
     buckets = max(1, -(-sum(counts.values()) // BUCKET))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("row", "start"), F.lit(buckets)).cast("int"))
+    bucket, within, base, rank_, n = (fresh_name(x, pieces.columns) for x in ("bucket", "within", "base", "rank", "n"))
+    dealt = pieces.withColumn(bucket, F.pmod(F.xxhash64("row", "start"), F.lit(buckets)).cast("int"))
     # Where each bucket's ranks begin: at most cap x buckets small rows, by length.
-    sizes = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = materialise(sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "ranks")
-    numbered = dealt.withColumn("within", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc", "row", "start")) - 1)
-    ranked = numbered.join(sizes, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("within"))
+    sizes = dealt.groupBy("length", bucket).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = materialise(sizes.select("length", bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base)), "ranks")
+    numbered = dealt.withColumn(within, F.row_number().over(Window.partitionBy("length", bucket).orderBy("doc", "row", "start")) - 1)
+    ranked = numbered.join(sizes, ["length", bucket]).withColumn(rank_, F.col(base) + F.col(within))
     keep = [f for f in pieces.schema.fields]
     key = plan.length << 40 | plan.rank
     sequence, offset, used, first = plan.sequence, plan.offset, plan.used, plan.rank
@@ -154,12 +157,16 @@ def pack_pieces(pieces: DataFrame, cap: int = LENGTH) -> DataFrame:
                 names=[*batch.schema.names[:-1], "sequence_id", "offset", "sequence_tokens", "padded_length"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return ranked.select(*[f.name for f in keep], "rank").mapInArrow(place, f"{schema}, sequence_id long, offset long, sequence_tokens long, padded_length long")
+    new = [StructField(c, LongType()) for c in ("sequence_id", "offset", "sequence_tokens", "padded_length")]
+    return ranked.select(*[quoted(f.name) for f in keep], rank_).mapInArrow(place, StructType([*keep, *new]))
 
 
 def pack_documents(docs: DataFrame, path: str, ranks: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
-    """Pieces of all documents in packed sequences; with ``ids`` also their tokens."""
+    """Pieces of all documents in packed sequences; with ``ids`` also their tokens.
+
+    Null and empty texts are a piece of the end id alone.  Repeated rows, and rows without
+    an id, are packed each by itself; pieces of equal length take their places by id, row
+    and start."""
     pieces = materialise(cut_pieces(docs, path, ranks, length, id_col, text_col, ids), "pieces")
     packed = pack_pieces(pieces, length)
     named = packed.withColumnRenamed("doc", id_col).withColumn("length", F.col("length").cast("long"))

@@ -75,8 +75,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 _CHAT_SQL = """
-WITH asked AS (
-  SELECT conv_id || ':' || turn AS call_id, turn, role, min(text) AS prompt FROM conversations
+WITH RECURSIVE asked AS (
+  SELECT conv_id || ':' || turn AS call_id, conv_id, turn, role, min(text) AS prompt FROM conversations
   WHERE role IS NULL OR role <> 'assistant' GROUP BY conv_id, turn, role
 ), answered AS (
   SELECT conv_id || ':' || (turn - 1) AS call_id, turn AS result_at, min(text) AS content FROM conversations
@@ -85,12 +85,25 @@ WITH asked AS (
   SELECT coalesce(a.call_id, r.call_id) AS call_id, a.call_id IS NOT NULL AS is_call, r.call_id IS NOT NULL AS is_result,
     a.turn, a.role, a.prompt, r.result_at, r.content
   FROM asked a FULL JOIN answered r ON a.call_id = r.call_id
+), needs AS (
+  SELECT conv_id, turn, CASE WHEN role = 'system' AND turn = 0 THEN 1 WHEN length(prompt) > 400 THEN turn + 2 WHEN turn >= 2 THEN turn - 2 END AS dep FROM asked
+), known AS (
+  SELECT n.* FROM needs n JOIN asked a ON a.conv_id = n.conv_id AND a.turn = n.dep
+), cycles AS (
+  SELECT a.conv_id, a.turn FROM known a JOIN known b ON b.conv_id = a.conv_id AND b.turn = a.dep AND b.dep = a.turn
+), walk AS (
+  SELECT conv_id, turn AS start, turn AS spot, 0 AS hops FROM asked
+  UNION ALL
+  SELECT w.conv_id, w.start, k.dep, w.hops + 1 FROM walk w JOIN known k ON k.conv_id = w.conv_id AND k.turn = w.spot
+  WHERE k.dep > k.turn AND NOT EXISTS (SELECT 1 FROM cycles c WHERE c.conv_id = w.conv_id AND c.turn = w.spot)
+), placed AS (
+  SELECT conv_id || ':' || start AS call_id, max(spot) AS order_at, CAST(max(hops) AS BIGINT) AS order_hops FROM walk GROUP BY 1
 ), judged AS (
-  SELECT *, CASE WHEN NOT is_call THEN 'orphan' WHEN NOT is_result THEN 'unanswered' ELSE 'linked' END AS status,
+  SELECT b.*, p.order_at, coalesce(p.order_hops, 0) AS order_hops, CASE WHEN NOT is_call THEN 'orphan' WHEN EXISTS (SELECT 1 FROM cycles c WHERE c.conv_id || ':' || c.turn = b.call_id) THEN 'cyclic' WHEN NOT is_result THEN 'unanswered' ELSE 'linked' END AS status,
     concat_ws(';', CASE WHEN length(prompt) > 400 THEN 'length:prompt' END, CASE WHEN is_call AND prompt IS NULL THEN 'missing:prompt' END) AS errors
-  FROM both_sides
+  FROM both_sides b LEFT JOIN placed p ON p.call_id = b.call_id
 )
-SELECT call_id, coalesce(turn, result_at) AS position, coalesce(turn, result_at) AS order_at, CAST(0 AS BIGINT) AS order_hops, status,
+SELECT call_id, coalesce(turn, result_at) AS position, coalesce(order_at, result_at) AS order_at, order_hops, status,
   errors = '' AS valid, errors,
   '{"arguments":' || CASE WHEN is_call THEN '{' || concat_ws(',', '"prompt":' || CAST(to_json(prompt) AS VARCHAR), '"role":' || CAST(to_json(role) AS VARCHAR), '"turn":"' || turn || '"') || '}' ELSE '{}' END
     || ',"call_id":"' || call_id || '","name":' || CASE WHEN is_call THEN '"reply"' ELSE 'null' END

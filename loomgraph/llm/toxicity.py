@@ -399,7 +399,8 @@ def score_documents(docs: DataFrame, model: ToxicModel, text_col: str = "text",
     new = [StructField(to, DoubleType())]
     if spans:
         new.append(StructField("hits", ArrayType(StructType([StructField("term", StringType()), StructField("edits", IntegerType())]))))
-    docs = with_text(docs, text_col, [f.name for f in new])
+    docs, kept = with_text(docs, text_col, [f.name for f in new])
+    fields = [*kept, *new]
     terms, fuzzy, weights, base = model.terms, model.fuzzy, model.weights, model.base
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,6 +418,6 @@ def score_documents(docs: DataFrame, model: ToxicModel, text_col: str = "text",
             out = [*batch.columns[:-1], pa.array(scores, pa.float64())]
             if spans:
                 out.append(pa.array(hits, pa.list_(pa.struct([("term", pa.string()), ("edits", pa.int32())]))))
-            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], *[f.name for f in new]])
+            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
 
-    return docs.mapInArrow(scan, StructType([*docs.schema.fields[:-1], *new]))
+    return docs.mapInArrow(scan, StructType(fields))

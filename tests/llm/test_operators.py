@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import random
+import re
 import zlib
 from collections import defaultdict
 from hashlib import sha1, sha256
@@ -184,6 +185,54 @@ def test_spotsigs_pairs(spark, awkward):
     assert want <= got and len(want) > 20
 
 
+def brute_signatures(text):
+    """A text's signatures as plain tuples: chains after anchors, chains at every word."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", low)
+    content = [i for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
+    out = set()
+    for i, w in enumerate(words):
+        after = [k for k in content if k > i]
+        if w in spotsigs.ANCHORS and len(after) >= spotsigs.CHAIN:
+            out.add(("anchor", w, *(words[k] for k in after[: spotsigs.CHAIN])))
+        if i + spotsigs.CHAIN < len(words):
+            out.add(("plain", *words[i : i + spotsigs.CHAIN + 1]))
+    return out | ({("whole", *words)} if 0 < len(words) <= spotsigs.CHAIN else set())
+
+
+def test_spotsigs_against_brute_force(spark, awkward):
+    rng, words = random.Random(6), vocabulary(60, 5) + spotsigs.ANCHORS
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 5, 30, 90]))) for _ in range(60)] + ["The DOG, the dog; the-dog", "ÉtÉ été", "a b", "the of"]
+    texts += [t for i, t in awkward if i is not None and i < 70]
+    sets = spotsigs.signature_sets(*spotsigs._flat(texts))
+    brute = [brute_signatures(t) for t in texts]
+    assert [len(s) for s in sets] == [len(b) for b in brute]
+    small = [k for k in range(len(texts)) if len(brute[k]) <= spotsigs.SKETCH]
+    for a in small:
+        for b in small:
+            union = brute[a] | brute[b]
+            want = len(brute[a] & brute[b]) / len(union) if brute[a] and brute[b] else float(not brute[a] and not brute[b])
+            assert abs(spotsigs.likeness(sets[a], sets[b]) - want) < 1e-12
+            assert spotsigs.likeness(sets[a], sets[b], 0.8) == (want if want >= 0.8 or spotsigs.likeness(sets[a], sets[b], 0.8) else 0.0)
+    # Larger sets are estimated from the smallest hashes of the union.
+    long = [" ".join(rng.choice(words) for _ in range(3000)) for _ in range(2)]
+    half = " ".join(long[0].split()[:1500] + long[1].split()[:1500])
+    x, y = spotsigs.signature_sets(*spotsigs._flat([long[0], half]))
+    bx, by = brute_signatures(long[0]), brute_signatures(half)
+    assert abs(spotsigs.likeness(x, y) - len(bx & by) / len(bx | by)) < 0.1
+    # The query's own likeness is that of its fingerprints.
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in spotsigs.edited_fingerprints(documents(spark, rows)).collect()}
+    for i, t in rows:
+        nxt = texts[i - 1] if i else texts[-1]
+        k = len(t) // 3
+        for field, other in (("near_next", nxt), ("near_edited", t[: len(t) - k] + nxt[:k])):
+            p, q = brute_signatures(t), brute_signatures(other)
+            want = len(p & q) / len(p | q) if p and q else float(not p and not q)
+            if len(p) <= spotsigs.SKETCH and len(q) <= spotsigs.SKETCH:
+                assert abs(getattr(got[i], field) - want) < 1e-12
+
+
 def test_spotsigs_have_one_rule_for_all_lengths():
     words = vocabulary(400, 8)
     sets = lambda *texts: spotsigs.signature_sets(*spotsigs._flat(list(texts)))
@@ -414,6 +463,29 @@ def test_chat(spark):
     assert chat.link_calls(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_chat_query_orders_late_and_cyclic_calls(spark):
+    """Derived calls against their order told one by one."""
+    rng, rows = random.Random(4), []
+    for c in range(60):
+        lead = c % 4 == 0
+        rows += [(c, 0, "system", "be brief")] if lead else []
+        for k in range(rng.randint(1, 5)):
+            t = 2 * k + lead
+            rows += [(c, t, "user", "x" * rng.choice([10, 900])), (c, t + 1, "assistant", "ok")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.call_id: r for r in chat.link_calls(*chat.conversation_calls(turns)).collect()}
+    asked = {(c, t): (t + 1 if r == "system" else t + 2 if len(x) > 400 else t - 2) for c, t, r, x in rows if r != "assistant"}
+    status = {r.status for r in got.values()}
+    for (c, t), dep in asked.items():
+        cyclic = lambda t, d: (c, d) in asked and asked[c, d] == t
+        at, hops, d = t, 0, dep
+        while d > at and (c, d) in asked and not cyclic(at, d):
+            at, hops, d = d, hops + 1, asked[c, d]
+        r = got[f"{c}:{t}"]
+        assert (r.order_at, r.order_hops, r.status == "cyclic") == (at, hops, cyclic(t, dep))
+    assert {"linked", "cyclic"} <= status and max(r.order_hops for r in got.values()) >= 3
+
+
 def test_chat_long_chain_against_the_order(spark):
     n = 40
     calls = spark.createDataFrame([(f"c{i}", 1, i, "t", {}, [f"c{i + 1}"]) for i in range(n)], "call_id string, conv_id long, position long, name string, arguments map<string,string>, depends_on array<string>")
