@@ -154,7 +154,7 @@ REPLY_SCHEMA = "array(named_struct('arg', 'prompt', 'kind', 'string', 'required'
 
 
 #: Length of a prompt from which on it needs the following call's reply.
-LONG_PROMPT = 400
+LONG_PROMPT = 120
 
 
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

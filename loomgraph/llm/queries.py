@@ -86,7 +86,7 @@ WITH RECURSIVE asked AS (
     a.turn, a.role, a.prompt, r.result_at, r.content
   FROM asked a FULL JOIN answered r ON a.call_id = r.call_id
 ), needs AS (
-  SELECT conv_id, turn, CASE WHEN role = 'system' AND turn = 0 THEN 1 WHEN length(prompt) > 400 THEN turn + 2 WHEN turn >= 2 THEN turn - 2 END AS dep FROM asked
+  SELECT conv_id, turn, CASE WHEN role = 'system' AND turn = 0 THEN 1 WHEN length(prompt) > 120 THEN turn + 2 WHEN turn >= 2 THEN turn - 2 END AS dep FROM asked
 ), known AS (
   SELECT n.* FROM needs n JOIN asked a ON a.conv_id = n.conv_id AND a.turn = n.dep
 ), cycles AS (

@@ -474,7 +474,7 @@ def test_chat_query_orders_late_and_cyclic_calls(spark):
             rows += [(c, t, "user", "x" * rng.choice([10, 900])), (c, t + 1, "assistant", "ok")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.call_id: r for r in chat.link_calls(*chat.conversation_calls(turns)).collect()}
-    asked = {(c, t): (t + 1 if r == "system" else t + 2 if len(x) > 400 else t - 2) for c, t, r, x in rows if r != "assistant"}
+    asked = {(c, t): (t + 1 if r == "system" else t + 2 if len(x) > chat.LONG_PROMPT else t - 2) for c, t, r, x in rows if r != "assistant"}
     status = {r.status for r in got.values()}
     for (c, t), dep in asked.items():
         cyclic = lambda t, d: (c, d) in asked and asked[c, d] == t
