@@ -52,38 +52,45 @@ def validate(arguments: Column, schema: Column) -> Column:
     return F.when(schema.isNull(), F.array(F.lit("unknown tool"))).otherwise(F.array_sort(F.concat(missing, kind, long, extra)))
 
 
-def _raise_keys(start: DataFrame, needs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Raises the keys of calls over those of what they depend on, round by round.
-
-    Returns the final keys and None; or, where cycles keep keys moving, the calls
-    (call_id) on a cycle or on a path between cycles.  Those are what is left when
-    calls that nothing moving depends on, or that depend on nothing moving, are taken
-    away again and again.
-    """
-    keys, moved, moved_n, inner, inner_n = start, None, 0, None, 0
-    while True:
-        pull = needs.join(keys.select(F.col("call_id").alias("dep"), F.col("k").alias("dk")), "dep").groupBy("call_id").agg(F.max("dk").alias("dk"))
-        up = F.coalesce(F.col("dk") >= F.col("k"), F.lit(False))
-        new = keys.join(pull, "call_id", "left").select("call_id", F.when(up, F.struct(F.col("dk.at").alias("at"), (F.col("dk.hops") + 1).alias("hops"))).otherwise(F.col("k")).alias("k"), up.alias("moving"))
-        new = materialise(new, "call-order")
-        keys, moving = new.select("call_id", "k"), new.where("moving").select("call_id")
-        if moving.isEmpty():
-            return keys, None
-        moved = materialise((moving if moved is None else moved.union(moving)).distinct(), "moved-calls")
-        n = moved.count()
-        before = None
-        if n > moved_n:
-            moved_n, step = n, needs.join(moved, "call_id", "left_semi").join(moved.withColumnRenamed("call_id", "dep"), "dep", "left_semi")
-        elif inner_n:
-            before = inner_n
-            step = inner.join(inner.select(F.col("call_id").alias("dep")).distinct(), "dep", "left_semi")
-            step = step.join(inner.select(F.col("dep").alias("call_id")).distinct(), "call_id", "left_semi")
-        else:
-            continue
-        inner = materialise(step.select("call_id", "dep"), "moved-needs")
-        inner_n = inner.count()
-        if before and inner_n == before:
-            return keys, materialise(inner.select("call_id").distinct(), "cyclic-calls")
+#: Rounds after which the keys raised so far are written as one table.
+COMPACT = 8
+
+
+def _cyclic(needs: DataFrame) -> DataFrame | None:
+    """The calls (call_id) on a cycle or on a path between cycles, or None.
+
+    They are what is left when calls that nothing depends on, or that depend on nothing,
+    are taken away again and again; each round reads what the one before has left."""
+    inner, n = needs.select("call_id", "dep"), needs.count()
+    while n:
+        step = inner.join(inner.select(F.col("call_id").alias("dep")).distinct(), "dep", "left_semi")
+        step = step.join(inner.select(F.col("dep").alias("call_id")).distinct(), "call_id", "left_semi")
+        inner = materialise(step.select("call_id", "dep"), "call-cycles")
+        left = inner.count()
+        if left == n:
+            return materialise(inner.select("call_id").distinct(), "cyclic-calls")
+        n = left
+    return None
+
+
+def _raised_keys(needs: DataFrame) -> DataFrame:
+    """(call_id, k) of calls whose key must rise over those of what they depend on.
+
+    ``needs`` has no cycles and holds both calls' own keys (k, dk).  A round looks only at
+    calls that depend on ones raised in the round before."""
+    over = lambda k: F.struct(F.col(f"{k}.at").alias("at"), (F.col(f"{k}.hops") + 1).alias("hops"))
+    highest = lambda df: df.groupBy("call_id").agg(F.max("k").alias("k"))
+    front = materialise(highest(needs.where("dk >= k").select("call_id", over("dk").alias("k"))), "raised-calls")
+    raised, rounds = front, 0
+    while not front.isEmpty():
+        rounds += 1
+        pull = needs.drop("dk").join(front.select(F.col("call_id").alias("dep"), F.col("k").alias("dk")), "dep").groupBy("call_id").agg(F.max("k").alias("own"), F.max(over("dk")).alias("new"))
+        now = pull.join(highest(raised), "call_id", "left")
+        front = materialise(now.where(F.col("new") > F.coalesce("k", "own")).select("call_id", F.col("new").alias("k")), "raised-calls")
+        raised = raised.union(front)
+        if rounds % COMPACT == 0:
+            raised = materialise(highest(raised), "raised-calls")
+    return highest(raised)
 
 
 def topological_keys(calls: DataFrame) -> DataFrame:
@@ -99,19 +106,18 @@ def topological_keys(calls: DataFrame) -> DataFrame:
     start = materialise(calls.groupBy("call_id").agg(F.min(own).alias("k")), "call-order")
     needs = calls.select("call_id", F.explode("depends_on").alias("dep")).where("dep is not null").distinct()
     needs = needs.join(start.select(F.col("call_id").alias("dep"), F.col("k").alias("dk")), "dep").join(start, "call_id")
-    needs = materialise(needs.select("call_id", "dep", (F.col("dk") >= F.col("k")).alias("late")), "call-needs")
-    keys, cyclic = start, None
-    if not needs.where("late").isEmpty():
-        needs = needs.select("call_id", "dep")
-        keys, core = _raise_keys(start, needs)
-        while core is not None:
-            cyclic = core if cyclic is None else cyclic.union(core)
-            needs = materialise(needs.join(core, "call_id", "left_anti"), "call-needs")
-            keys, core = _raise_keys(start, needs)
+    needs = materialise(needs.select("call_id", "dep", "k", "dk"), "call-needs")
+    if needs.where("dk >= k").isEmpty():
+        return start.select("call_id", F.col("k").alias("order_key"), F.lit(False).alias("cyclic"))
+    cyclic = _cyclic(needs)
+    if cyclic is not None:
+        needs = materialise(needs.join(cyclic, "call_id", "left_anti").select("call_id", "dep", "k", "dk"), "call-needs")
+    raised = materialise(_raised_keys(needs), "raised-keys").withColumnRenamed("k", "higher")
+    keys = start.join(raised, "call_id", "left").select("call_id", F.coalesce("higher", "k").alias("order_key"))
     if cyclic is None:
-        return keys.select("call_id", F.col("k").alias("order_key"), F.lit(False).alias("cyclic"))
+        return keys.withColumn("cyclic", F.lit(False))
     keys = keys.join(cyclic.withColumn("cyclic", F.lit(True)), "call_id", "left")
-    return keys.select("call_id", F.col("k").alias("order_key"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+    return keys.select("call_id", "order_key", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
