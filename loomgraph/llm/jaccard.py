@@ -11,13 +11,14 @@ documents link when ``100 * |A & B| >= threshold * |A | B|``.
    at most: unshared shingles are a fifth of the union, and half of a pool may be
    passed over; sets of at most ``POOL`` shingles that link always share one.  Shingles of more than ``COMMON`` classes
    (boilerplate) are passed over unless they are over half of a document's pool.
-3. *Pivots.*  In each cell every class is verified against a few pivots, linearly
-   many pairs.  This alone gathers groups of copies, however large.
-4. *R-tree.*  Where a cell still holds several components, its classes become
-   points: shingles are hashed into ``GROUPS`` groups and counted.  The R-tree's
-   boxes, level over level, keep the largest count of each group; the sum of coordinate
-   minima of a point and a box bounds every overlap below it.  Pairs of different
-   components that survive are verified exactly.  Cells over ``BLOCK`` classes are split
+3. *Points.*  Shingles are hashed into ``GROUPS`` groups and counted; the sum of the
+   coordinate minima of two such points bounds the overlap of their sets.  Only pairs
+   that this bound leaves are verified, exactly, by their sets.
+4. *Pivots.*  In each cell every class meets a few pivots, linearly many pairs.  This
+   alone gathers groups of copies, however large.
+5. *R-tree.*  Where a cell still holds several components, an R-tree over its points
+   finds the pairs.  Its boxes, level over level, keep the largest count of each group,
+   so that the sum of minima of a point and a box bounds every overlap below it.  Cells over ``BLOCK`` classes are split
    by set size and into pairs of blocks, so no task gathers a whole cell, and blocks
    whose sizes are too far apart to link never meet.
 
@@ -72,8 +73,19 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
 
 
+def count_vector(shingles: np.ndarray) -> bytes:
+    """How many shingles each group has: bytes, or 32-bit numbers where those don't fit."""
+    counts = np.bincount((shingles % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def _points(vectors: pa.Array) -> np.ndarray:
+    rows = [np.frombuffer(b, np.uint8 if len(b) == GROUPS else np.uint32) for b in vectors.to_pylist()]
+    return np.stack(rows).astype(np.uint32) if rows else np.zeros((0, GROUPS), np.uint32)
+
+
 def shingle_summaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, digest of the set, its POOL smallest hashes)."""
+    """(id, n_shingles, digest of the set, its POOL smallest hashes, its count vector)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,11 +97,12 @@ def shingle_summaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                         pa.array([len(a) for a in sets], pa.int64()),
                         pa.array([hashlib.md5(a.tobytes()).digest() for a in sets], pa.binary()),
                         _lists([a[:POOL] for a in sets]),
+                        pa.array([count_vector(a) for a in sets], pa.binary()),
                     ],
-                    names=["id", "n", "digest", "pool"],
+                    names=["id", "n", "digest", "pool", "counts"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(scan, "id long, n long, digest binary, pool array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(scan, "id long, n long, digest binary, pool array<long>, counts binary")
 
 
 def cells(classes: DataFrame) -> DataFrame:
@@ -126,6 +139,21 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
     return picked.mapInArrow(scan, "id long, shingles array<long>")
 
 
+def bounded(pairs: DataFrame, points: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (u, v) that the summed minima of their count vectors leave."""
+    side = lambda c, to: points.select(F.col("id").alias(c), F.col("counts").alias(to))
+    met = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = _points(batch.column(2)), _points(batch.column(3))
+            both, total = (x.sum(1, dtype=np.int64) for x in (np.minimum(a, b), a + b))
+            keep = pa.array(both * 100 >= (total - both) * threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["u", "v"])
+
+    return met.mapInArrow(scan, "u long, v long")
+
+
 def verify(docs: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """The pairs (u, v) that link, by exact intersection of their shingle sets.
 
@@ -177,7 +205,7 @@ class CountTree:
 def _tree_pairs(group: pa.Table, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     ids, comps = group.column("id").to_numpy(), group.column("component").to_numpy()
     sizes, side = group.column("n").to_numpy(), group.column("side").to_numpy()
-    counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint32).reshape(len(ids), GROUPS)
+    counts = _points(group.column("counts"))
     key = group.column("key")[0].as_py()
     cells_of = np.full((len(ids), POOL), np.iinfo(np.int64).max)
     for i, own in enumerate(group.column("keys").to_pylist()):
@@ -198,21 +226,12 @@ def _tree_pairs(group: pa.Table, threshold: int) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(out_u), np.concatenate(out_v)) if out_u else (np.zeros(0, np.int64),) * 2
 
 
-def tree_candidates(docs: DataFrame, met: DataFrame, threshold: int) -> DataFrame:
+def tree_candidates(points: DataFrame, met: DataFrame, threshold: int) -> DataFrame:
     """Pairs of different components that the R-tree of their cell lets pass, each in the
     first cell that both are in.
 
-    ``met`` has (key, id, n, component), cells with several components only."""
-    ids = materialise(met.select("id").distinct(), "cell-ids")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = batch.column(1)
-            flat, at = sets.flatten().to_numpy().view(np.uint64), np.concatenate(([0], np.cumsum(sets.value_lengths().to_numpy())))
-            rows = [np.bincount((flat[at[i] : at[i + 1]] % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["id", "counts"])
-
-    points = materialise(shingles_of(docs, ids, ids.count()).mapInArrow(scan, "id long, counts binary"), "points")
+    ``points`` has (id, counts); ``met`` (key, id, n, component), cells with several
+    components only."""
     # At most POOL cells a class.
     points = materialise(points.join(met.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys")), "id"), "placed-points")
     # Cells of one block stay whole; larger ones are split by step of size, then by hash.
@@ -267,7 +286,7 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, id_col: str
         raise ValueError("the cells are laid out for a threshold of at least 80")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = materialise(shingle_summaries(docs, id_col, text_col), "shingles")
-    classes = materialise(found.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("pool").alias("pool")), "classes")
+    classes = materialise(found.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("pool").alias("pool"), F.first("counts").alias("counts")), "classes")
     met = materialise(cells(classes), "cells")
     # Pivots: of each cell and size class, the most central class, which links with most
     # of a group of near copies, and the one that comes first in one of a few orders.
@@ -280,13 +299,14 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, id_col: str
     # Sets that link lie in one size class or in neighbouring ones.
     pivots = materialise(pivots.select("key", F.explode(F.array(*[F.col("level") + k for k in (-1, 0, 1)])).alias("level"), "v", "m"), "pivots")
     pairs = placed.join(pivots, ["key", "level"]).where((F.col("id") != F.col("v")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold)).select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
-    links = materialise(verify(texts, pairs, threshold), "pivot-links")
+    points = classes.select("id", "counts")
+    links = materialise(verify(texts, bounded(pairs, points, threshold), threshold), "pivot-links")
     parts = connected_components(links)
     # Cells that still hold several components.
     parts = materialise(parts, "pivot-components")
     known = materialise(met.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")), "known")
     open_cells = materialise(known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "open-cells")
-    rest = verify(texts, tree_candidates(texts, known.join(open_cells, "key"), threshold), threshold)
+    rest = verify(texts, tree_candidates(points, known.join(open_cells, "key"), threshold), threshold)
     parts = materialise(connected_components(links.union(rest)), "components")
     by_set = materialise(classes.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("class_component")), "sets")
     out = found.join(by_set, "digest", "left")

@@ -10,6 +10,7 @@ from collections import defaultdict
 from hashlib import sha1, sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import bpe, chat, common, components, hnsw, jaccard, packing, quality, rans, segments, spotsigs, toxicity, warc
@@ -139,15 +140,20 @@ def test_tree_pairs_of_split_cells(spark, monkeypatch):
         for _ in range(rng.choice([0, 1, 3])):
             own[rng.randrange(len(own))] = rng.choice(words)
         rows.append((i, " ".join(own)))
-    texts = documents(spark, rows, extra=False).withColumnRenamed("doc_id", "id")
     sets = jaccard.shingle_sets(*spotsigs._flat([t for _, t in rows]))
+    points = spark.createDataFrame([(i, bytearray(jaccard.count_vector(s))) for i, s in enumerate(sets)], "id long, counts binary")
     met = spark.createDataFrame([(5, i, len(s), i) for i, s in enumerate(sets)], "key long, id long, n long, component long")
-    pairs = lambda: {(r.u, r.v) for r in jaccard.tree_candidates(texts, met, 80).collect()}
+    pairs = lambda: {(r.u, r.v) for r in jaccard.tree_candidates(points, met, 80).collect()}
     whole = pairs()
     monkeypatch.setattr(jaccard, "BLOCK", 7)
     assert pairs() == whole
     want = {(a, b) for a in range(90) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
     assert want <= whole and len(want) > 300
+    every = spark.createDataFrame([(a, b) for a in range(90) for b in range(a)], "u long, v long")
+    left = {(r.u, r.v) for r in jaccard.bounded(every, points, 80).collect()}
+    assert want <= left and len(left) < 4005
+    many = np.arange(300_000, dtype=np.uint64)
+    assert len(jaccard.count_vector(many)) == 4 * jaccard.GROUPS and jaccard._points(pa.array([jaccard.count_vector(many)])).sum() == 300_000
 
 
 # -------------------------------------------------------------------- spotsigs
