@@ -10,7 +10,7 @@ documents link when ``100 * |A & B| >= threshold * |A | B|``.
    Jaccard at least 0.8 share none of them with a chance of about 0.4 ** KEYS (1e-8)
    at most: unshared shingles are a fifth of the union, and half of a pool may be
    passed over; sets of at most ``POOL`` shingles that link always share one.  Shingles of more than ``COMMON`` classes
-   (boilerplate) are passed over unless they are over half of a document's pool.
+   (boilerplate) are passed over unless they are over ``MOSTLY`` per cent of a document's pool.
 3. *Points.*  Shingles are hashed into ``GROUPS`` groups and counted; the sum of the
    coordinate minima of two such points bounds the overlap of their sets.  Only pairs
    that this bound leaves are verified, exactly, by their sets.
@@ -44,6 +44,10 @@ THRESHOLD = 80
 POOL, KEYS = 40, 20
 #: Classes from which on a shingle counts as common.
 COMMON = 100
+#: Per cent of a pool above which its common shingles are cells as well.  A set that links
+#: through common shingles alone has four fifths of them, so 16 or fewer of a pool of 40
+#: with a chance of 3.5e-8.
+MOSTLY = 40
 #: Orders by which pivots are chosen, told by the cell's key.
 PIVOTS = 4
 #: Hash groups of a count vector, points of a block, and children of a box.
@@ -116,7 +120,7 @@ def cells(classes: DataFrame) -> DataFrame:
     met = met.withColumn("before", F.coalesce(F.sum("common").over(by_class.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     met = met.withColumns({"all_common": F.sum("common").over(by_class), "known": F.sum("c").over(by_class)})
     rank = F.when(F.col("common") == 1, F.col("before")).otherwise(F.col("pos") - F.col("before"))
-    mostly = F.col("all_common") * 2 > F.least("n", F.lit(POOL))
+    mostly = F.col("all_common") * 100 > F.least("n", F.lit(POOL)) * MOSTLY
     return met.where((rank < KEYS) & ((F.col("common") == 0) | mostly)).select("key", "id", "n", "known")
 
 
