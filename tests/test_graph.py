@@ -11,6 +11,7 @@ from loomgraph import PropertyGraph, node, out, shortest, undirected
 from loomgraph import functions as G
 from loomgraph.checks import difference, same_rows, time_query, write_report
 from loomgraph.operators import paths, results, updates
+from loomgraph.operators.counts import match_counts
 from loomgraph.operators.match import extend, optional_match, where_exists
 from loomgraph.pattern import into, rel
 from loomgraph.sources import dump, files
@@ -362,3 +363,38 @@ def test_dump_is_written_as_it_is_read(spark, tmp_path):
     back = dump.read_dump(spark, f"{tmp_path}/dump")
     assert bag(back.nodes("A", "B").select("id", "name", F.array_join("tags", ","), "w")) == {(0, 'a "q" \\ b', "x,y", 1.5): 1, (1, None, None, None): 1}
     assert bag(back.edges("E").select("src", "dst", "ok")) == {(0, 1, True): 2, (1, 0, None): 1}
+
+
+# ------------------------------------------------------- counts and growing frames
+def hub_graph(spark, many=30):
+    """``many`` leaves at each of two hubs, one of them with a loop and two equal edges."""
+    leaves = [(10 + i, i % 3) for i in range(2 * many)]
+    nodes = {"Leaf": spark.createDataFrame(leaves, "id long, kind int"), "Hub": spark.createDataFrame([(0, "a"), (1, "b")], "id long, name string")}
+    links = [(i, 10 + i, i % 2) for i in range(2 * many)] + [(1000, 10, 0), (1001, 10, 0), (1002, 0, 0), (1003, 0, 1)]
+    return PropertyGraph.of(spark, nodes, {"E": spark.createDataFrame(links, "eid long, src long, dst long")}, small=["Hub"])
+
+
+@pytest.mark.parametrize("uniqueness", ["edge", "none"])
+def test_counts_are_those_of_the_matches(spark, uniqueness):
+    g = hub_graph(spark)
+    for pattern in (
+        (node("a", "Leaf", kind=1), out(None, "E"), node("h", "Hub"), into(None, "E"), node("b", "Leaf")),
+        (node("a"), out(), node("h"), into(), node("b"), out(), node("c")),
+        (node("h"), out(None, "E"), node("h")),
+        ((node("h", "Hub"), into(), node("a")), (node("h"), into(), node("a")), (node("h"), into(), node("b", "Leaf"))),
+        (node("a", "Leaf").where("kind > 0"), out(), node("h", "Hub"), into(None, "NONE"), node()),
+    ):
+        want = bag(g.match(*pattern, uniqueness=uniqueness).groupBy("h.id").agg(F.count("*").alias("n")))
+        assert bag(match_counts(g, *pattern, keep={"hub": ("h", "id")}, uniqueness=uniqueness)) == want
+    two = (node("a", "Leaf"), out(), node("h", "Hub"), into(), node("b", "Leaf"))
+    want = bag(g.match(*two, uniqueness=uniqueness).groupBy("a.kind", F.expr("b.kind = 2")).count())
+    assert bag(match_counts(g, *two, keep={"k": ("a", "kind"), "two": ("b", "kind = 2")}, uniqueness=uniqueness)) == want
+
+
+def test_counts_make_no_pairs(spark):
+    """300,000 leaves at one hub have ninety thousand million pairs."""
+    n = 300_000
+    leaves = spark.range(10, 10 + n)
+    g = PropertyGraph.of(spark, {"Leaf": leaves, "Hub": spark.createDataFrame([(0,)], "id long")}, {"E": leaves.select(F.col("id").alias("eid"), F.col("id").alias("src"), F.lit(0).alias("dst"))}, small=["Hub"])
+    assert bag(match_counts(g, node("a", "Leaf"), out(None, "E"), node("h", "Hub"), into(None, "E"), node("b", "Leaf"), keep={"h_id": ("h", "id")})) == {(0, n * (n - 1)): 1}
+
