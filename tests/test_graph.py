@@ -398,3 +398,15 @@ def test_counts_make_no_pairs(spark):
     g = PropertyGraph.of(spark, {"Leaf": leaves, "Hub": spark.createDataFrame([(0,)], "id long")}, {"E": leaves.select(F.col("id").alias("eid"), F.col("id").alias("src"), F.lit(0).alias("dst"))}, small=["Hub"])
     assert bag(match_counts(g, node("a", "Leaf"), out(None, "E"), node("h", "Hub"), into(None, "E"), node("b", "Leaf"), keep={"h_id": ("h", "id")})) == {(0, n * (n - 1)): 1}
 
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hub_is_dealt_over_many_parts(spark):
+    g = hub_graph(spark)
+    m = g.match(node("a", "Leaf"), out("e", "E"), node("h", "Hub"), into("f", "E"), node("b", "Leaf"))
+    assert m.columns == ["a", "e", "h", "f", "b"] and "_jj" in plan_of(m)
+    plain = PropertyGraph.of(spark, {next(iter(k)): v for k, v in g.node_frames.items()}, g.edge_frames)
+    ids = ("a.id", "e.eid", "h.id", "f.eid", "b.id")
+    assert bag(m.select(*ids)) == bag(plain.match(node("a", "Leaf"), out("e", "E"), node("h", "Hub"), into("f", "E"), node("b", "Leaf")).select(*ids))
