@@ -12,6 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a task that counts nearly as many groups.
+TASK_ROWS = 500_000
+
 
 def count_of(name: str) -> Column:
     """count(n): rows where the variable is bound (OPTIONAL MATCH leaves nulls)."""
@@ -30,6 +33,16 @@ def group_by_nodes(df: DataFrame, names: list[str], *aggregates: Column) -> Data
     return found.drop(*[f"_{n}" for n in names])
 
 
+def counted_by(df: DataFrame, rows: int, spread: str, *others: str, to: str = "n") -> DataFrame:
+    """Rows for each value of ``spread`` and ``others``, of a frame of about ``rows`` rows
+    with nearly as many groups.
+
+    Rows are dealt by ``spread`` alone into tasks of ``TASK_ROWS``, so what a task holds
+    doesn't grow with the data; the frame's exchange is the only one."""
+    parts = max(1, -(-rows // TASK_ROWS))
+    return df.repartition(parts, spread).groupBy(spread, *others).agg(F.count("*").alias(to))
+
+
 def returning(df: DataFrame, *items: Column | str, aggregates: Sequence[Column] = (), distinct: bool = False, order_by: Sequence[Column] = (), skip: int = 0, limit: int | None = None) -> DataFrame:
     """RETURN [DISTINCT] items, aggregates [ORDER BY ...] [SKIP n] [LIMIT m].
 

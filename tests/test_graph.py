@@ -410,3 +410,20 @@ def test_a_hub_is_dealt_over_many_parts(spark):
     plain = PropertyGraph.of(spark, {next(iter(k)): v for k, v in g.node_frames.items()}, g.edge_frames)
     ids = ("a.id", "e.eid", "h.id", "f.eid", "b.id")
     assert bag(m.select(*ids)) == bag(plain.match(node("a", "Leaf"), out("e", "E"), node("h", "Hub"), into("f", "E"), node("b", "Leaf")).select(*ids))
+
+
+def test_growing_frames_are_not_broadcast(spark):
+    """Frames of a few KB, which Spark by itself would broadcast."""
+    g = hub_graph(spark)
+    two = (node("a", "Leaf"), out(None, "E"), node("b"), out(None, "E"), node("c"))
+    hub = g.match(node("h", "Hub"), into(None, "E"), node("a", "Leaf"))
+    assert "strategy=broadcast" in plan_of(hub)
+    starts = g.nodes("Leaf").select("id")
+    for df in (g.match(*two), paths.walk_counts(g.edges("E"), starts, 1, 3), paths.expand(g.edges("E"), starts, 1, 3), paths.closure(g.edges("E"), 2), paths.shortest_paths(g.edges("E"), starts, starts, high=2), paths.all_shortest_paths(g.edges("E"), starts, starts, high=2)):
+        assert "Broadcast" not in plan_of(df)
+
+
+def test_counted_by_deals_rows_over_more_tasks(spark):
+    df = spark.range(1000).selectExpr("id % 100 as k", "id % 3 as other")
+    many = results.counted_by(df, 2 * results.TASK_ROWS + 1, "k", "other")
+    assert many.rdd.getNumPartitions() == 3 and bag(many) == bag(df.groupBy("k", "other").count())
