@@ -423,6 +423,14 @@ def test_growing_frames_are_not_broadcast(spark):
         assert "Broadcast" not in plan_of(df)
 
 
+def test_levels_without_ways(spark):
+    g = graph(spark, [(0, 1), (0, 1), (1, 2), (0, 3), (3, 2), (2, 4)])
+    starts = g.nodes("N").select("id")
+    lean, whole = (paths.shortest_paths(g.edges("E"), starts, low=low, ways=False) for low in (0, 1)), [paths.shortest_paths(g.edges("E"), starts, low=low) for low in (0, 1)]
+    for a, b in zip(lean, whole, strict=True):
+        assert a.columns == ["start", "end", "depth", "n_paths"] and bag(a) == bag(b.select(*a.columns))
+
+
 def test_counted_by_deals_rows_over_more_tasks(spark):
     df = spark.range(1000).selectExpr("id % 100 as k", "id % 3 as other")
     many = results.counted_by(df, 2 * results.TASK_ROWS + 1, "k", "other")
