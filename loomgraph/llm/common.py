@@ -114,22 +114,21 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def training_rows(labels: DataFrame, label: str, split: int, folds: int, bound: int) -> DataFrame:
-    """At most ``bound`` labelled ids (doc_id, label) outside the held-out fold.
+def training_rows(labels: DataFrame, label: str, split: int, folds: int, bound: int | None = None) -> DataFrame:
+    """Labelled ids (doc_id, label) outside the held-out fold: all, or at most ``bound``.
 
-    The held-out fold is ``crc32(doc_id as text) mod folds = split``.  Rows are
+    The held-out fold is ``crc32(doc_id as text) mod folds = split``.  With a bound rows are
     taken in hash order, so the sample is the same on every run; ``bound`` is
     the documented limit on what a classifier is fitted on.
     """
     key = F.crc32(F.col("doc_id").cast("string"))
-    return (
+    rows = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .where(F.pmod(key, F.lit(folds)) != split)
         .groupBy("doc_id")
         .agg(F.max(F.col(label).cast("int")).alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(bound)
     )
+    return rows if bound is None else rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
 # ------------------------------------------------------------- Arrow batches

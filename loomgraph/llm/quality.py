@@ -3,28 +3,34 @@
 A document's strength is linear in surface features of its whole text.  The
 weights are learned from preference pairs (a document marked good is preferred
 to one marked bad) by logistic loss on feature differences; an intercept cancels
-out, so a cut is chosen as a quantile of the strengths of the fitted sample and
-mapped to the score 0.7.
+out, so a cut is chosen over the strengths of all fitted rows and mapped to the
+score 0.7.
 
-Fitting uses at most ``FIT_ROWS`` labelled documents.  Features are computed
-for every document, whole text, in one pass without a shuffle.
+Fitting uses every labelled document outside the held-out fold, in blocks of rows within
+which pairs are drawn.  Features are computed from whole texts without a shuffle of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import LOWER, broadcast_if_small, runs, text_slices, training_rows, with_text, word_hashes, word_spans
+from .common import LOWER, materialise, runs, text_slices, training_rows, with_text, word_hashes, word_spans
 
-#: Largest number of labelled documents that the ranking is fitted on.
-FIT_ROWS = 20_000
+#: Labelled ids up to which other texts are passed over by a broadcast of the ids; with
+#: more, features of all texts are made and joined.
+FILTER_ROWS = 200_000
+#: Rows of a block of labelled documents, and those of the rarer class in each.
+BLOCK_ROWS, RARE_ROWS = 2_048, 64
+#: Bins in which strengths are counted for the cut.
+BINS = 1_024
 #: Preference pairs drawn for each labelled document of the commoner class.
 PAIRS_PER_ROW = 8
 
@@ -135,59 +141,134 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_ranking(x: np.ndarray, good: np.ndarray, ridge: float = 1e-3, seed: int = 7) -> Ranking:
-    """Bradley-Terry fit from labelled rows.
+def _blocks(rows: DataFrame, size: dict[int, int]) -> DataFrame:
+    """(x, good, own): labelled rows (doc_id, label, features) in blocks of about
+    ``BLOCK_ROWS``, as bytes.  Rows of the rarer class come into as many blocks as it takes
+    to have some in each; ``own`` marks a row's first place."""
+    blocks = -(-sum(size.values()) // BLOCK_ROWS)
+    rare = min(size, key=lambda k: (size[k], k))
+    copies = min(blocks, -(-RARE_ROWS * blocks // size[rare]))
+    places = F.sequence(F.lit(0), F.when(F.col("label") == rare, F.lit(copies - 1)).otherwise(F.lit(0)))
+    dealt = rows.select("*", F.explode(places).alias("copy")).withColumn("block", F.pmod(F.xxhash64("doc_id") + F.col("copy"), F.lit(blocks)))
 
-    With one class only (or no rows) nothing can be ranked: all strengths are 0
-    and the cut puts every score at the class seen (at 0.7 without rows).
-    """
-    good = good.astype(bool)
-    width = x.shape[1] if x.ndim == 2 and len(x) else len(FEATURES)
-    if not len(x) or good.all() or not good.any():
-        cut = 0.0 if not len(x) or good.all() else 1.0
-        return Ranking(np.zeros(width), np.ones(width), np.zeros(width), cut, 0.0)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z = np.clip((x - mean) / scale, -8, 8)
-    rng = np.random.default_rng(seed)
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("doc_id", kind="stable")
+        x = np.array(part["features"].tolist(), np.float64)
+        return pd.DataFrame([{"block": part["block"].iloc[0], "x": x.tobytes(), "good": (part["label"].to_numpy() == 1).tobytes(), "own": (part["copy"].to_numpy() == 0).tobytes()}])
+
+    packed = dealt.groupBy("block").applyInPandas(pack, "block long, x binary, good binary, own binary")
+    return materialise(packed, "quality-blocks")
+
+
+def _summed(blocks: DataFrame, read: Callable[[int, np.ndarray, np.ndarray, np.ndarray], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """What ``read`` tells of every block (its number, features, marks, own): sums, but for
+    names that begin with min or max.  A task's blocks are one row to the driver."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for block, x, good, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                good = np.frombuffer(good, bool)
+                _merge(got, read(block, np.frombuffer(x, np.float64).reshape(len(good), -1), good, np.frombuffer(own, bool)))
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(list(got)), pa.array([v.ravel().tolist() for v in got.values()], pa.list_(pa.float64()))], names=["name", "v"])
+
+    total: dict[str, np.ndarray] = {}
+    for r in blocks.select("block", "x", "good", "own").mapInArrow(scan, "name string, v array<double>").collect():
+        _merge(total, {r["name"]: np.array(r["v"], np.float64)})
+    return total
+
+
+def _merge(into: dict[str, np.ndarray], more: dict[str, np.ndarray]) -> None:
+    for k, v in more.items():
+        join = np.minimum if k.startswith("min") else np.maximum if k.startswith("max") else np.add
+        into[k] = join(into[k], v) if k in into else np.asarray(v, np.float64)
+
+
+def _pairs(block: int, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Preference pairs of a block: every row of the commoner class in ``PAIRS_PER_ROW``."""
+    rng = np.random.default_rng([7, block])
     a, b = np.flatnonzero(good), np.flatnonzero(~good)
-    n = PAIRS_PER_ROW * max(len(a), len(b))
-    won, lost = np.resize(rng.permutation(a), n), np.resize(rng.permutation(b), n)
-    lost = rng.permutation(lost)
-    d = z[won] - z[lost]
+    n = PAIRS_PER_ROW * max(len(a), len(b)) if len(a) and len(b) else 0
+    return np.resize(rng.permutation(a), n), rng.permutation(np.resize(rng.permutation(b), n))
+
+
+def _cut(blocks: DataFrame, strength: Callable[[np.ndarray], np.ndarray], size: dict[int, int]) -> tuple[float, float]:
+    """The cut that best balances both classes over all rows, and the share below it.
+
+    Every strength is counted, in bins; those around the best cut are divided once more."""
+    ends = _summed(blocks, lambda _k, x, _g, own: {"min": strength(x[own]).min(initial=np.inf), "max": strength(x[own]).max(initial=-np.inf)})
+    lo, hi = float(ends["min"].item()), float(ends["max"].item())
+    for _ in range(2):
+        width = max(hi - lo, 1e-12) / BINS
+
+        def count(_k: int, x: np.ndarray, good: np.ndarray, own: np.ndarray, lo: float = lo, width: float = width) -> dict[str, np.ndarray]:
+            s, good = strength(x[own]), good[own]
+            # Bin 0 is below the range, the last above it.
+            at = np.clip(np.floor((s - lo) / width), -1, BINS).astype(np.int64) + 1
+            least, most = np.full(BINS + 2, np.inf), np.full(BINS + 2, -np.inf)
+            np.minimum.at(least, at, s)
+            np.maximum.at(most, at, s)
+            return {"good": np.bincount(at[good], minlength=BINS + 2), "bad": np.bincount(at[~good], minlength=BINS + 2), "min": least, "max": most}
+
+        got = _summed(blocks, count)
+        # gain[j]: bins from j + 1 on are accepted.
+        below, bad = np.cumsum(got["good"])[:-1], np.cumsum(got["bad"])[:-1]
+        gain = 1 - below / size[1] + bad / size[0]
+        best = np.flatnonzero(gain >= gain.max() - 1e-9)
+        j = int(best[len(best) // 2])
+        lo, hi = lo + (j - 2) * width, lo + (j + 2) * width
+    under, over = got["max"][: j + 1].max(), got["min"][j + 1 :].min()
+    cut = (under + over) / 2 if np.isfinite([under, over]).all() else over if np.isfinite(over) else under
+    return float(cut), float((below[j] + bad[j]) / sum(size.values()))
+
+
+def learn_ranking(docs: DataFrame, labels: DataFrame, split: int = 2, folds: int = 4, ridge: float = 1e-3) -> Ranking:
+    """Bradley-Terry fit on every labelled row outside the held-out fold.
+
+    Only doc_id and text are read besides the labels; lang, source and doc_id are no
+    features.  Of rows that share an id one counts, of repeated labels the largest; rows
+    without an id or a label are not fitted on.  Each Newton step is one pass over the
+    rows' features, which gives sums alone to the driver.
+
+    With one class only (or no rows) nothing can be ranked: all strengths are 0 and the cut
+    puts every score at the class seen (at 0.7 without rows).
+    """
+    marked = materialise(training_rows(labels, "quality", split, folds), "quality-marks")
+    texts = docs.select("doc_id", "text")
+    if marked.count() <= FILTER_ROWS:
+        texts = texts.join(F.broadcast(marked.select("doc_id")), "doc_id", "left_semi")
+    # Texts stay where they are: their features are joined with the labels.
+    rows = with_features(texts).groupBy("doc_id").agg(F.min("features").alias("features")).join(marked.hint("merge"), "doc_id")
+    rows = materialise(rows.select("doc_id", (F.col("label") > 0).cast("int").alias("label"), "features"), "quality-features")
+    size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    width = len(FEATURES)
+    if len(size) < 2:
+        return Ranking(np.zeros(width), np.ones(width), np.zeros(width), 1.0 if 0 in size else 0.0, 0.0)
+    blocks = _blocks(rows, size)
+    got = _summed(blocks, lambda _k, x, _g, own: {"x": x[own].sum(0), "xx": (x[own] ** 2).sum(0)})
+    n = sum(size.values())
+    mean = got["x"] / n
+    scale = np.maximum(np.sqrt(np.maximum(got["xx"] / n - mean**2, 0)), 1e-6)
     w = np.zeros(width)
     for _ in range(50):  # Newton steps on the mean logistic loss
-        p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
-        grad = -(d * p[:, None]).mean(0) + ridge * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / n + ridge * np.eye(width)
-        step = np.linalg.solve(hess, grad)
+
+        def slope(block: int, x: np.ndarray, good: np.ndarray, _o: np.ndarray, w: np.ndarray = w) -> dict[str, np.ndarray]:
+            won, lost = _pairs(block, good)
+            z = np.clip((x - mean) / scale, -8, 8)
+            d = z[won] - z[lost]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
+            return {"pairs": np.array([len(d)]), "grad": d.T @ p, "hess": (d * (p * (1 - p))[:, None]).T @ d}
+
+        got = _summed(blocks, slope)
+        pairs = max(got["pairs"].item(), 1)
+        step = np.linalg.solve(got["hess"].reshape(width, width) / pairs + ridge * np.eye(width), ridge * w - got["grad"] / pairs)
         w = w - step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:
             break
-    s = z @ w
-    # The cut is the quantile of all strengths that best balances both classes.
-    grid = np.unique(np.concatenate([np.linspace(0, 1, 401), [(~good).mean()]]))
-    cuts = np.quantile(s, grid)
-    gain = np.array([(s[good] >= c).mean() + (s[~good] < c).mean() for c in cuts])
-    best = np.flatnonzero(gain >= gain.max() - 1e-9)
-    k = best[len(best) // 2]
-    below, above = s[s < cuts[k]], s[s >= cuts[k]]
-    cut = (below.max() + above.min()) / 2 if len(below) and len(above) else cuts[k]
-    return Ranking(mean, scale, w, float(cut), float(grid[k]))
-
-
-def learn_ranking(docs: DataFrame, labels: DataFrame, split: int = 2, folds: int = 4, bound: int = FIT_ROWS) -> Ranking:
-    """Fit on a bounded sample of labelled rows outside the held-out fold.
-
-    Only doc_id and text of the sampled rows are read besides the labels; lang,
-    source and doc_id are no features.  Of rows that share an id one counts, of repeated
-    labels the largest; rows without an id or a label are not fitted on.
-    """
-    sample = training_rows(labels, "quality", split, folds, bound)
-    rows = docs.select("doc_id", "text").join(broadcast_if_small(sample, bound, FIT_ROWS), "doc_id")
-    # At most `bound` rows of floats come back, one per sampled id.
-    got = with_features(rows).groupBy("doc_id").agg(F.first("features").alias("features"))
-    got = got.join(broadcast_if_small(sample, bound, FIT_ROWS), "doc_id").orderBy("doc_id").collect()
-    return fit_ranking(np.array([r["features"] for r in got], float), np.array([r["label"] for r in got]))
+    ranking = Ranking(mean, scale, w, 0.0, 0.0)
+    ranking.cut, ranking.quantile = _cut(blocks, Ranking(mean, scale, w, 0.0, 0.0).strength, size)
+    return ranking
 
 
 def score_documents(docs: DataFrame, ranking: Ranking, text_col: str = "text", to: str = "score") -> DataFrame:

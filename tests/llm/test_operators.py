@@ -539,6 +539,45 @@ def test_classifiers(spark, field):
     assert score(docs.limit(0), learn(docs.limit(0), labels), to="judged").count() == 0
 
 
+def test_quality_is_fitted_on_every_labelled_row(spark, monkeypatch):
+    """Blocks of any size, with few rows of one class: all rows take part in sums and pairs."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, len(quality.FEATURES)))
+    label = (np.arange(500) % 50 != 0).astype(int)
+    rows = spark.createDataFrame([(i, int(label[i]), x[i].tolist()) for i in range(500)], "doc_id long, label int, features array<double>")
+    monkeypatch.setattr(quality, "BLOCK_ROWS", 20)
+    blocks = quality._blocks(rows, {0: 10, 1: 490})
+    got = blocks.collect()
+    each = [(np.frombuffer(b.good, bool), np.frombuffer(b.own, bool)) for b in got]
+    assert len(got) == 25 and sum(own.sum() for _, own in each) == 500 and all(0 < g.sum() < len(g) for g, _ in each)
+    for b, (g, _) in zip(got, each, strict=True):
+        won, lost = quality._pairs(b.block, g)
+        assert set(won) == set(np.flatnonzero(g)) and set(lost) == set(np.flatnonzero(~g))
+    total = quality._summed(blocks, lambda _k, x, _g, own: {"x": x[own].sum(0)})["x"]
+    assert np.allclose(total, x.sum(0))
+    cut, share = quality._cut(blocks, _First(), {0: 10, 1: 490})
+    s = x[:, 0]
+    gain = lambda c: (s[label == 1] >= c).mean() + (s[label == 0] < c).mean()
+    assert gain(cut) >= max(gain(c) for c in s) - 0.02 and share == (s < cut).mean()
+
+
+class _First:
+    def __call__(self, x):
+        return x[:, 0]
+
+
+def test_quality_reads_rows_beyond_any_sample(spark):
+    """25,000 labelled rows: the cut stands over all of them, not over the first 20,000."""
+    docs = spark.range(25_000).selectExpr("id as doc_id", "repeat(if(id % 5 = 0, 'BUY | NOW! ', 'some plain words here '), cast(2 + id % 7 as int)) as text")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 5 = 0, 0, 1) as quality")
+    fitted = quality.training_rows(labels, "quality", 2, 4)
+    assert fitted.count() == labels.where("pmod(crc32(cast(doc_id as string)), 4) <> 2").count()
+    ranking = quality.learn_ranking(docs, labels, split=2, folds=40_000)
+    assert abs(ranking.quantile - 0.2) < 1e-3
+    right = quality.score_documents(docs, ranking).where("(score >= 0.7) = (doc_id % 5 <> 0)").count()
+    assert right == 25_000
+
+
 def test_toxicity_tells_quotation_from_abuse():
     model = toxicity.LexiconAutomaton(["grumblefoot"], [True])
     memory = toxicity._Memory(model)
