@@ -12,8 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a task that counts nearly as many groups.
-TASK_ROWS = 500_000
+from ..tables import TASK_ROWS
 
 
 def count_of(name: str) -> Column:
