@@ -49,3 +49,21 @@ def test_walk_levels_hold_a_row_for_each_node(spark):
 def test_walk_totals_are_dealt_by_rows(spark, small_tasks):
     for n in (100, 400):
         assert paths.walk_totals(ring(spark, n), 2, 2).rdd.getNumPartitions() == n * 2 // 50
+
+
+@pytest.mark.parametrize("direction", ["out", "in", "both"])
+def test_closure_has_each_pair_once(spark, small_tasks, direction):
+    stored = [(r.src, r.dst) for r in odd_edges(spark).collect()]
+    hops = {"out": stored, "in": [(b, a) for a, b in stored], "both": stored + [(b, a) for a, b in stored]}[direction]
+    hops = {(a, b) for a, b in hops if a is not None}
+    level, want = hops, Counter()
+    for depth in range(1, 6):
+        want.update({(a, b, depth): 1 for a, b in level})
+        level = {(a, c) for a, b in level for s, c in hops if s == b}
+    assert bag(paths.closure(odd_edges(spark), 5, direction)) == want
+
+
+def test_closure_is_dealt_by_rows(spark, small_tasks):
+    """The last level, of about four pairs for each node, and those before it."""
+    for n in (100, 400):
+        assert paths.closure(ring(spark, n), 2).where("depth = 2").rdd.getNumPartitions() >= n * 4 // 50
