@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph import tables
+from loomgraph import PropertyGraph, node, out, tables
 from loomgraph.operators import paths
 from loomgraph.plans import catalogue
 from tests.test_graph import bag
@@ -67,3 +67,25 @@ def test_closure_is_dealt_by_rows(spark, small_tasks):
     """The last level, of about four pairs for each node, and those before it."""
     for n in (100, 400):
         assert paths.closure(ring(spark, n), 2).where("depth = 2").rdd.getNumPartitions() >= n * 4 // 50
+
+
+@pytest.mark.parametrize("mode", ["trail", "walk"])
+def test_long_paths_have_each_path_once(spark, small_tasks, mode):
+    edges = odd_edges(spark).where("eid % 3 > 0")
+    hops = [(r.eid, r.src, r.dst) for r in edges.collect()]
+    level, want = [(s, s, ()) for s in range(10)], Counter()
+    for _ in range(5):
+        level = [(s, b, (*used, e)) for s, at, used in level for e, a, b in hops if a == at and (mode == "walk" or e not in used)]
+        want.update(level)
+    assert Counter((r.start, r.end, tuple(r.eids)) for r in paths.expand(edges, spark.range(10), 1, 5, mode=mode).collect()) == want
+
+
+def test_long_paths_are_dealt_by_rows(spark, small_tasks):
+    """The search's levels, and the joins of what it finds with both its ends."""
+    n = 400
+    g = PropertyGraph.of(spark, {"N": spark.range(n).withColumn("size", F.col("id") % 7)}, {"E": ring(spark, n).where("eid % 2 = 0")}, small=())
+    found = g.match(node("a", "N"), out("p", "E", hops=(1, 4)), node("b", "N")).select("a.size", "p.depth", F.col("b.size").alias("other"))
+    assert bag(found) == Counter((k % 7, d, (k + d) % n % 7) for k in range(n) for d in range(1, 5))
+    assert found.rdd.getNumPartitions() >= n * 4 // 50
+    files = paths.expand(g.edges("E"), spark.range(n), 1, 4).withColumn("file", F.input_file_name()).groupBy("depth").agg(F.countDistinct("file").alias("n"))
+    assert min(r.n for r in files.collect()) >= n // 50
