@@ -89,3 +89,13 @@ def test_long_paths_are_dealt_by_rows(spark, small_tasks):
     assert found.rdd.getNumPartitions() >= n * 4 // 50
     files = paths.expand(g.edges("E"), spark.range(n), 1, 4).withColumn("file", F.input_file_name()).groupBy("depth").agg(F.countDistinct("file").alias("n"))
     assert min(r.n for r in files.collect()) >= n // 50
+
+
+@pytest.mark.parametrize("ways", [True, False])
+def test_shortest_paths_are_dealt_by_rows(spark, small_tasks, ways):
+    n = 400
+    found = paths.shortest_paths(ring(spark, n), spark.range(n), high=2, ways=ways)
+    ends = ((1, 1, 1), (2, 1, 1), (3, 2, 2), (4, 2, 1))
+    assert bag(found.select("start", "end", "depth", "n_paths")) == Counter((k, (k + far) % n, depth, ways_there) for k in range(n) for far, depth, ways_there in ends)
+    files = found.withColumn("file", F.input_file_name()).groupBy("depth").agg(F.countDistinct("file").alias("n"))
+    assert min(r.n for r in files.collect()) >= n // 50
